@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, sharding
+from . import exact, near, repetition, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,19 @@ def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), sharding.tree(8), sharding.tree(9))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(_table(spark, sf_dir, "documents"))
+
+
+def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_radix_exact_dedup": op1_radix_exact_dedup,
     "op2_hash_tree_shards": op2_hash_tree_shards,
+    "op5_order_minhash": op5_order_minhash,
+    "op10_repetition_rules": op10_repetition_rules,
 }
 
 ORACLES: dict[str, str] = {
