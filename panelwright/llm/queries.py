@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, near, repetition, sharding
+from . import bpe, cotrain, exact, near, repetition, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,22 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = cotrain.with_scores(docs, cotrain.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))
+
+
+def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_radix_exact_dedup": op1_radix_exact_dedup,
     "op2_hash_tree_shards": op2_hash_tree_shards,
     "op5_order_minhash": op5_order_minhash,
+    "op6_cotrained_quality": op6_cotrained_quality,
+    "op7_speculative_bpe": op7_speculative_bpe,
     "op10_repetition_rules": op10_repetition_rules,
 }
 
