@@ -1,6 +1,666 @@
-"""Registry of the engine's queries and their SQL twins."""
+"""Registry of the engine's queries over the driver's tables, each with its SQL twin.
+
+Doubles that pass through sums of floats, logarithms or products are rounded to 8 places on both
+sides (10 before they are ranked); everything else is exact.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.sqlforms import VALUE_WEIGHT, buckets, long_short, nearest, terciles
+from .operators import calendars, clean, cross_section, factors, fundamentals, metrics, portfolio, regress, returns, signals
+from .plans import panels as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function under its name, with its SQL twin."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def stats8() -> list:
+    """The summary's doubles; the total return r as r / (1 + |r|), as it may have more than 15 digits before the point."""
+    return [*r8(*metrics.STATS[1:-1]), F.round(F.col("total_return") / (1 + F.abs("total_return")), 8).alias("bounded_return")]
+
+
+def r8(*columns: str) -> list:
+    return [F.round(c, 8).alias(c) for c in columns]
+
+
+def _sm(spark: SparkSession, sf: str) -> DataFrame:
+    return P.with_returns(P.supplier_month(spark, sf))
+
+
+def _sd(spark: SparkSession, sf: str) -> DataFrame:
+    return P.with_returns(P.supplier_day(spark, sf))
+
+
+def _mom(df: DataFrame) -> DataFrame:
+    return signals.attach_momentum(df, 12, 1).withColumn("mom_12_1", F.round("mom_12_1", 10))
+
+
+R, RD = f"{P.SM}, {P.returns_sql('sm', 'r')}", f"{P.SD}, {P.returns_sql('sd', 'r')}"
+_FRAME = "over (partition by symbol order by trade_date rows between 11 preceding and 1 preceding)"
+MOM = f"{R}, mom as (select *, case when count(*) {_FRAME} >= 5 then round(exp(sum(ln(1 + coalesce(ret, 0))) {_FRAME}) - 1, 10) end as mom_12_1 from r)"
+_ILL = "case when ret is not null and tottrdval > 0 then abs(ret) / tottrdval end"
+
+
+def illiq_sql(window: int, source: str = "r") -> str:
+    least = max(1, window // 2)
+    frame = f"over (partition by symbol order by trade_date rows between {window - 1} preceding and current row)"
+    return f"""ill as (select *, {_ILL} as illiq from {source}),
+        roll as (select *, case when count(illiq) {frame} >= {least} then avg(illiq) {frame} end as illiq_roll from ill),
+        sig as (select *, lag(illiq_roll) over (partition by symbol order by trade_date) as illiq_signal from roll)"""
+
+
+# returns ------------------------------------------------------------------------------------------
+
+
+@query(f"with {R} select trade_date, symbol, ret from r")
+def simple_returns(spark, sf):
+    return _sm(spark, sf).select("trade_date", "symbol", "ret")
+
+
+@query(f"with {R} select trade_date, symbol, round(log_ret, 8) as log_ret from r")
+def log_returns(spark, sf):
+    return _sm(spark, sf).select("trade_date", "symbol", *r8("log_ret"))
+
+
+_GRID = f"""{P.SD}, grid as (select trade_date, symbol from (select distinct trade_date from sd) cross join (select distinct symbol from sd)),
+    full_ as (select g.trade_date, g.symbol, s.close, s.tottrdqty, s.tottrdval, max(case when s.close is not null then g.trade_date end) over (partition by g.symbol) as last_date
+              from grid g left join sd s on g.trade_date = s.trade_date and g.symbol = s.symbol),
+    liq as (select trade_date, symbol, close, tottrdval, coalesce(trade_date > last_date, false) as is_liquidated,
+              close is null as is_missing_ohlc, close is null or coalesce(tottrdqty, 0) <= 0 or coalesce(tottrdval, 0) <= 0 as is_suspended from full_)"""
+
+
+@query(f"with {_GRID} select trade_date, symbol, case when not is_liquidated then close / lag(close) over (partition by symbol order by trade_date) - 1 end as ret from liq")
+def gap_returns_null(spark, sf):
+    grid = clean.liquidation_grid(clean.flag_quality(P.supplier_day(spark, sf)))
+    return returns.price_returns(returns.ensure_adj_close(grid)).select("trade_date", "symbol", "ret")
+
+
+@query(
+    f"""with {P.SM} select trade_date, symbol, close, close * (1 + (month(trade_date) % 2)) as adj_close,
+        case when close <> 0 then close * (1 + (month(trade_date) % 2)) / close end as factor_back from sm"""
+)
+def adjust_prices(spark, sf):
+    panel = P.supplier_month(spark, sf).withColumn("adj_factor", (1 + F.month("trade_date") % 2).cast("double"))
+    out = returns.apply_factor(panel)
+    return out.select("trade_date", "symbol", "close", "adj_close", returns.adjustment_factor(F.col("close"), F.col("adj_close")).alias("factor_back"))
+
+
+# cleaning -----------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with {P.SDS} select trade_date, symbol, series, close, tottrdval from sds
+        qualify row_number() over (partition by trade_date, symbol order by case series when 'EQ' then 0 when 'BE' then 1 else 2 end) = 1"""
+)
+def dedupe_prefer_eq(spark, sf):
+    return clean.dedupe(P.supplier_day_series(spark, sf)).select("trade_date", "symbol", "series", "close", "tottrdval")
+
+
+@query(f"with {P.SDS} select trade_date, symbol, series, close from sds where series in ('EQ', 'BE')")
+def series_filter(spark, sf):
+    return clean.filter_series(P.supplier_day_series(spark, sf)).select("trade_date", "symbol", "series", "close")
+
+
+
+
+@query(
+    f"""with {P.SD}, thin as (select *, case when day(trade_date) % 7 = 0 then null else close end as c, case when day(trade_date) % 5 = 0 then 0.0::double else tottrdqty end as q from sd)
+        select trade_date, symbol, coalesce(c <= 0, true) as is_missing_ohlc, q <= 0 or tottrdval <= 0 or coalesce(c <= 0, true) as is_suspended, false as is_liquidated from thin"""
+)
+def quality_flags(spark, sf):
+    day = F.dayofmonth("trade_date")
+    thin = P.supplier_day(spark, sf).withColumns({"close": F.when(day % 7 != 0, F.col("close")), "tottrdqty": F.when(day % 5 == 0, 0.0).otherwise(F.col("tottrdqty"))})
+    return clean.flag_quality(thin).select("trade_date", "symbol", *clean.FLAGS)
+
+
+@query(f"with {_GRID} select trade_date, symbol, close, is_liquidated, is_suspended, is_missing_ohlc from liq")
+def calendar_grid_liquidation(spark, sf):
+    grid = clean.liquidation_grid(clean.flag_quality(P.supplier_day(spark, sf)))
+    return grid.select("trade_date", "symbol", "close", "is_liquidated", "is_suspended", "is_missing_ohlc")
+
+
+@query(
+    f"""with {P.SDS}, one as (select * from sds where series in ('EQ', 'BE') qualify row_number() over (partition by trade_date, symbol order by case series when 'EQ' then 0 else 1 end) = 1)
+        select trade_date, symbol, series, close, tottrdqty, tottrdval, false as is_suspended, false as is_missing_ohlc, false as is_liquidated from one"""
+)
+def clean_prices(spark, sf):
+    return clean.clean_prices(P.supplier_day_series(spark, sf)).select("trade_date", "symbol", "series", "close", "tottrdqty", "tottrdval", *clean.FLAGS)
+
+
+@query(f"with {P.SD} select distinct trade_date from sd")
+def trading_calendar(spark, sf):
+    return calendars.trading_calendar(P.supplier_day(spark, sf))
+
+
+@query(
+    """select d::date as trade_date from (select unnest(generate_series(date '1995-01-01', date '1998-12-31', interval 1 day)) as d) where isodow(d) < 6"""
+)
+def weekday_calendar(spark, sf):
+    import datetime as dt
+
+    return calendars.weekday_calendar(spark, dt.date(1995, 1, 1), dt.date(1998, 12, 31))
+
+
+@query(f"with {P.SD} select max(trade_date) as trade_date from sd group by date_trunc('month', trade_date)")
+def month_end_dates(spark, sf):
+    return calendars.month_ends(P.supplier_day(spark, sf))
+
+
+@query(f"with {P.SD} select symbol, max(trade_date) as as_of_date from sd group by symbol, date_trunc('month', trade_date)")
+def month_end_asof(spark, sf):
+    return calendars.month_end_asof(P.supplier_day(spark, sf))
+
+
+@query(
+    """select s_suppkey, case when bare = 'HDFC' then 'HDFCBANK' else bare end as symbol from (
+        select s_suppkey, regexp_replace(upper(trim(case s_suppkey % 4 when 0 then ' hdfc.ns ' when 1 then 'S' || s_suppkey || '.BO' when 2 then 's' || s_suppkey || '.nse' else 'S' || s_suppkey end)), '\\.(NS|BO|NSE|BSE)$', '') as bare from supplier)"""
+)
+def symbol_normalize(spark, sf):
+    from .functions.symbols import SymbolMap
+
+    key, k = F.concat(F.lit("S"), "s_suppkey"), F.col("s_suppkey") % 4
+    raw = F.when(k == 0, " hdfc.ns ").when(k == 1, F.concat(key, F.lit(".BO"))).when(k == 2, F.concat(F.lower(key), F.lit(".nse"))).otherwise(key)
+    return SymbolMap().normalize(P.table(spark, sf, "supplier").select("s_suppkey", raw.alias("symbol")))
+
+
+# rates --------------------------------------------------------------------------------------------
+
+
+@query(f"with {P.RF} select date, round(annualized_yield, 10) as annualized_yield, round(daily_rf, 12) as daily_rf, source from rf")
+def rf_daily(spark, sf):
+    rf = P.risk_free(spark, sf)
+    return rf.select("date", F.round("annualized_yield", 10).alias("annualized_yield"), F.round("daily_rf", 12).alias("daily_rf"), "source")
+
+
+_FILLED = f"{P.RF}, filled as (select c.trade_date as date, rf.annualized_yield, rf.daily_rf, rf.source from (select distinct trade_date from sd) c asof left join rf on c.trade_date >= rf.date)"
+
+
+@query(f"with {P.SD}, {_FILLED} select date, round(annualized_yield, 10) as annualized_yield, round(daily_rf, 12) as daily_rf, source from filled")
+def rf_forward_fill(spark, sf):
+    out = returns.forward_fill(P.risk_free(spark, sf), calendars.trading_calendar(P.supplier_day(spark, sf)))
+    return out.select("date", F.round("annualized_yield", 10).alias("annualized_yield"), F.round("daily_rf", 12).alias("daily_rf"), "source")
+
+
+@query(f"with {RD}, {_FILLED} select r.trade_date, r.symbol, round(ret - daily_rf, 8) as excess_ret, source as rf_source from r left join filled on r.trade_date = filled.date")
+def excess_returns(spark, sf):
+    return returns.attach_rf_excess(_sd(spark, sf), P.risk_free(spark, sf)).select("trade_date", "symbol", *r8("excess_ret"), "rf_source")
+
+
+@query(
+    f"""with {_GRID}, {P.RF}, filled as (select c.trade_date as date, rf.daily_rf from (select distinct trade_date from sd) c asof left join rf on c.trade_date >= rf.date),
+        q as (select *, case when not is_liquidated then close / lag(close) over (partition by symbol order by trade_date) end as q from liq)
+        select q.trade_date, symbol, close as adj_close, q - 1 as ret, round(ln(q), 8) as log_ret, round(q - 1 - daily_rf, 8) as excess_ret, is_liquidated, is_suspended from q left join filled on q.trade_date = filled.date"""
+)
+def returns_panel(spark, sf):
+    grid = clean.liquidation_grid(clean.flag_quality(P.supplier_day(spark, sf)))
+    out = returns.returns_panel(grid, P.risk_free(spark, sf))
+    return out.select("trade_date", "symbol", "adj_close", "ret", *r8("log_ret", "excess_ret"), "is_liquidated", "is_suspended")
+
+
+# fundamentals and universe ------------------------------------------------------------------------
+
+
+@query(f"with {P.FUND} select symbol, as_of_date, available_date, market_cap, book_value, book_to_market from fund")
+def reporting_lag(spark, sf):
+    return P.fundamentals(spark, sf).select("symbol", "as_of_date", "available_date", "market_cap", "book_value", "book_to_market")
+
+
+@query(
+    f"""with {P.FUND} select symbol, as_of_date, available_date, market_cap from fund where available_date <= date '1996-06-30'
+        qualify row_number() over (partition by symbol order by available_date desc, as_of_date desc) = 1"""
+)
+def pit_fundamentals_latest(spark, sf):
+    import datetime as dt
+
+    return fundamentals.latest_known(P.fundamentals(spark, sf), dt.date(1996, 6, 30)).select("symbol", "as_of_date", "available_date", "market_cap")
+
+
+_PF = f"{R}, {P.FUND}, {P.PF}"
+
+
+@query(f"with {_PF} select trade_date, symbol, close, as_of_date, available_date, market_cap, book_to_market from pf")
+def fundamentals_asof(spark, sf):
+    return P.priced_with_fundamentals(spark, sf).select("trade_date", "symbol", "close", "as_of_date", "available_date", "market_cap", "book_to_market")
+
+
+_SHARES = "shares as (select as_of_date as shares_date, symbol, market_cap / 10 as shares from fund)"
+_ASK = "ask as (select distinct symbol, last_day(trade_date) as as_of_date from sd)"
+
+
+@query(
+    f"""with {P.SD}, {P.FUND}, {_SHARES}, {_ASK}, one as (select ask.*, sd.close, sd.trade_date as price_date from ask asof left join sd on ask.symbol = sd.symbol and ask.as_of_date >= sd.trade_date)
+        select one.as_of_date, one.symbol, one.close, s.shares, one.close * s.shares as market_cap, one.price_date, s.shares_date
+        from one asof left join shares s on one.symbol = s.symbol and one.as_of_date >= s.shares_date"""
+)
+def market_equity_asof(spark, sf):
+    closes = P.supplier_day(spark, sf)
+    ask = closes.select("symbol", F.last_day("trade_date").alias("as_of_date")).distinct()
+    shares = P.fundamentals(spark, sf).select("as_of_date", "symbol", (F.col("market_cap") / 10).alias("shares"))
+    return fundamentals.market_equity_asof(ask, closes, shares)
+
+
+_NEW_ME = "select symbol, as_of_date, market_cap * 2 as market_cap from fund where month(as_of_date) = 3 union all select symbol, (as_of_date + interval 1 day)::date, market_cap from fund where month(as_of_date) = 6"
+
+
+@query(
+    f"""with {P.FUND}, me as ({_NEW_ME}), merged as (
+            select symbol, as_of_date, case when f.symbol is null and f.available_date is null then as_of_date else f.available_date end as available_date, coalesce(me.market_cap, f.market_cap) as market_cap, f.book_value, f.book_to_market
+            from fund f full join me using (symbol, as_of_date))
+        select symbol, as_of_date, available_date, market_cap, book_value, coalesce(case when book_value is not null and market_cap > 0 then book_value / market_cap end, book_to_market) as book_to_market from merged"""
+)
+def merge_me_overlay(spark, sf):
+    base = P.fundamentals(spark, sf)
+    twice = base.where(F.month("as_of_date") == 3).select("symbol", "as_of_date", (F.col("market_cap") * 2).alias("market_cap"))
+    later = base.where(F.month("as_of_date") == 6).select("symbol", F.date_add("as_of_date", 1).alias("as_of_date"), "market_cap")
+    return fundamentals.overlay_equity(base, twice.union(later))
+
+
+_NEW_BOOK = """select symbol, as_of_date, (available_date + interval 1 month)::date as available_date, null::double as market_cap, book_value * 3 as book_value, null::double as book_to_market from fund where month(as_of_date) = 3
+    union all select symbol, (as_of_date + interval 1 day)::date, available_date, null, book_value, null from fund where month(as_of_date) = 6"""
+
+
+@query(
+    f"""with {P.FUND}, b as ({_NEW_BOOK}), merged as (
+            select symbol, as_of_date, case when b.book_value is not null then b.available_date else f.available_date end as available_date, f.market_cap, coalesce(b.book_value, f.book_value) as book_value, f.book_to_market
+            from fund f full join b using (symbol, as_of_date))
+        select symbol, as_of_date, available_date, market_cap, book_value, coalesce(case when book_value is not null and market_cap > 0 then book_value / market_cap end, book_to_market) as book_to_market from merged"""
+)
+def merge_book_overlay(spark, sf):
+    base, none = P.fundamentals(spark, sf), F.lit(None).cast("double")
+    march = base.where(F.month("as_of_date") == 3).select(
+        "symbol", "as_of_date", F.add_months("available_date", 1).alias("available_date"), none.alias("market_cap"), (F.col("book_value") * 3).alias("book_value"), none.alias("book_to_market")
+    )
+    june = base.where(F.month("as_of_date") == 6).select("symbol", F.date_add("as_of_date", 1).alias("as_of_date"), "available_date", none.alias("market_cap"), "book_value", none.alias("book_to_market"))
+    return fundamentals.overlay_book(base, march.unionByName(june))
+
+
+@query(f"with {P.UNI} select as_of_date, symbol from uni where as_of_date = (select max(as_of_date) from uni where as_of_date <= date '1996-08-15')")
+def pit_universe(spark, sf):
+    import datetime as dt
+
+    return fundamentals.members_on(P.universe(spark, sf), dt.date(1996, 8, 15))
+
+
+@query(f"with {P.SM}, {P.UNI} select d.trade_date, u.symbol, u.as_of_date from (select distinct trade_date from sm) d join uni u on u.as_of_date = (select max(as_of_date) from uni where as_of_date <= d.trade_date)")
+def membership_on_dates(spark, sf):
+    return fundamentals.membership_on_dates(P.universe(spark, sf), calendars.trading_calendar(P.supplier_month(spark, sf)))
+
+
+# characteristics ----------------------------------------------------------------------------------
+
+
+@query(f"with {RD} select trade_date, symbol, {_ILL} as illiq from r")
+def amihud_daily(spark, sf):
+    return signals.attach_illiq(_sd(spark, sf)).select("trade_date", "symbol", "illiq")
+
+
+@query(f"with {RD}, {illiq_sql(30)} select trade_date, symbol, round(illiq_roll * 1e6, 8) as illiq_roll from sig")
+def amihud_rolling(spark, sf):
+    return signals.attach_rolling_illiq(_sd(spark, sf)).select("trade_date", "symbol", F.round(F.col("illiq_roll") * 1e6, 8).alias("illiq_roll"))
+
+
+@query(f"with {RD}, {illiq_sql(30)} select trade_date, symbol, round(illiq_signal * 1e6, 8) as illiq_signal from sig")
+def amihud_signal(spark, sf):
+    return signals.attach_illiq_signal(_sd(spark, sf)).select("trade_date", "symbol", F.round(F.col("illiq_signal") * 1e6, 8).alias("illiq_signal"))
+
+
+@query(f"with {MOM} select trade_date, symbol, mom_12_1 from mom")
+def momentum_12_1(spark, sf):
+    return _mom(_sm(spark, sf)).select("trade_date", "symbol", "mom_12_1")
+
+
+@query(f"with {_PF} select trade_date, symbol, market_cap as me, round(ln(market_cap), 8) as log_me from pf")
+def size_char(spark, sf):
+    return signals.attach_size(P.priced_with_fundamentals(spark, sf)).select("trade_date", "symbol", "me", *r8("log_me"))
+
+
+@query(f"with {_PF} select trade_date, symbol, book_to_market as btm from pf")
+def value_char(spark, sf):
+    return signals.attach_value(P.priced_with_fundamentals(spark, sf)).select("trade_date", "symbol", "btm")
+
+
+@query(f"with {R} select trade_date, symbol, lag(ret, 2) over (partition by symbol order by trade_date) as ret_lag2 from r", name="lag_signal")
+def lag_signal_query(spark, sf):
+    return signals.lag_signal(_sm(spark, sf), "ret", 2).select("trade_date", "symbol", "ret_lag2")
+
+
+# cross-sections -----------------------------------------------------------------------------------
+
+_CUT = f"cut as (select r.*, case when ret is not null then least(greatest(ret, lo), hi) end as ret_w from r join (select trade_date as td, {nearest('ret', 0.01, '')} as lo, {nearest('ret', 0.99, '')} as hi from r group by trade_date) on trade_date = td)"
+
+
+@query(f"with {R}, {_CUT} select trade_date, symbol, ret_w from cut")
+def winsorize_pct(spark, sf):
+    return cross_section.winsorize(_sm(spark, sf), "ret").select("trade_date", "symbol", "ret_w")
+
+
+@query(
+    f"""with {R}, m as (select *, median(ret) over (partition by trade_date) as m from r), d as (select *, median(abs(ret - m)) over (partition by trade_date) as d from m)
+        select trade_date, symbol, round(case when ret is null or not (d > 0) then ret else least(greatest(ret, m - d * 3), m + d * 3) end, 8) as ret_w from d"""
+)
+def winsorize_mad(spark, sf):
+    return cross_section.winsorize(_sm(spark, sf), "ret", "mad").select("trade_date", "symbol", *r8("ret_w"))
+
+
+def _z(x: str) -> str:
+    return f"case when stddev_samp({x}) over (partition by trade_date) > 0 then ({x} - avg({x}) over (partition by trade_date)) / stddev_samp({x}) over (partition by trade_date) end"
+
+
+@query(f"with {R} select trade_date, symbol, round({_z('ret')}, 8) as ret_z from r")
+def zscore(spark, sf):
+    return cross_section.zscore(_sm(spark, sf), "ret").select("trade_date", "symbol", *r8("ret_z"))
+
+
+@query(f"with {R}, {_CUT} select trade_date, symbol, ret_w, round({_z('ret_w')}, 8) as ret_z from cut")
+def prepare_signal(spark, sf):
+    return cross_section.prepare_signal(_sm(spark, sf), "ret").select("trade_date", "symbol", "ret_w", *r8("ret_z"))
+
+
+@query(f"with {R}, {buckets('r', 'b', 'ret', 5)} select trade_date, symbol, coalesce(quantile, 0) as quantile from b")
+def quantile_buckets_quintile(spark, sf):
+    return cross_section.sorts(_sm(spark, sf), "ret", "quintile").select("trade_date", "symbol", F.coalesce("quantile", F.lit(0)).alias("quantile"))
+
+
+@query(f"with {P.EU}, {buckets('eu', 'b', 'close', 10)} select trade_date, symbol, coalesce(quantile, 0) as quantile from b")
+def quantile_buckets_decile(spark, sf):
+    return cross_section.sorts(P.user_day(spark, sf), "close", "decile").select("trade_date", "symbol", F.coalesce("quantile", F.lit(0)).alias("quantile"))
+
+
+@query(f"with {R} select trade_date, symbol, case when ret is null then null when ret <= median(ret) over (partition by trade_date) then 'S' else 'B' end as size_bucket from r")
+def median_split(spark, sf):
+    return cross_section.median_split(_sm(spark, sf), "ret").select("trade_date", "symbol", "size_bucket")
+
+
+@query(f"with {R}, {terciles('r', 't', 'ret', 'label')} select trade_date, symbol, label from t")
+def tercile_labels(spark, sf):
+    return cross_section.tercile_labels(_sm(spark, sf), "ret").select("trade_date", "symbol", "label")
+
+
+# factors ------------------------------------------------------------------------------------------
+
+_SIZE = "sized as (select *, case when market_cap is null then null when market_cap <= median(market_cap) over (partition by trade_date) then 'S' else 'B' end as sz from pf)"
+_SMB = long_short("sized", "sz = 'S'", "sz = 'B'", "SMB", VALUE_WEIGHT)
+_HML = long_short("valued", "val = 'H' and sz is not null", "val = 'L' and sz is not null", "HML", VALUE_WEIGHT)
+
+
+@query(f"with {_PF}, {_SIZE} select trade_date, round(SMB, 8) as SMB from ({_SMB})")
+def factor_smb(spark, sf):
+    return factors.smb(P.priced_with_fundamentals(spark, sf)).select("trade_date", *r8("SMB"))
+
+
+@query(f"with {_PF}, {_SIZE}, {terciles('sized', 'valued', 'book_to_market', 'val')} select trade_date, round(HML, 8) as HML from ({_HML})")
+def factor_hml(spark, sf):
+    return factors.hml(P.priced_with_fundamentals(spark, sf)).select("trade_date", *r8("HML"))
+
+
+_WML = long_short("momt", "lab = 'H'", "lab = 'L'", "WML")
+
+
+@query(f"with {MOM}, {terciles('mom', 'momt', 'mom_12_1', 'lab')} select trade_date, round(WML, 8) as WML from ({_WML})")
+def factor_wml(spark, sf):
+    return factors.wml(_mom(_sm(spark, sf)), weighting="equal").select("trade_date", *r8("WML"))
+
+
+_LIQ = "liqd as (select * exclude (illiq_signal), round(illiq_signal * 1e6, 10) as illiq_signal from sig)"
+_ILQ = long_short("liqt", "lab2 = 'H'", "lab2 = 'L'", "ILLIQ")
+
+
+def _liq(df: DataFrame, window: int = 6) -> DataFrame:
+    return signals.attach_illiq_signal(df, window).withColumn("illiq_signal", F.round(F.col("illiq_signal") * 1e6, 10))
+
+
+@query(f"with {R}, {illiq_sql(6)}, {_LIQ}, {terciles('liqd', 'liqt', 'illiq_signal', 'lab2')} select trade_date, round(ILLIQ, 8) as ILLIQ from ({_ILQ})")
+def factor_illiq(spark, sf):
+    return factors.illiq_factor(_liq(_sm(spark, sf)), weighting="equal").select("trade_date", *r8("ILLIQ"))
+
+
+_FACTORS = f"{MOM}, {illiq_sql(6, 'mom')}, {_LIQ}, {terciles('liqd', 'momt', 'mom_12_1', 'lab')}, {terciles('momt', 'liqt', 'illiq_signal', 'lab2')}, fac as (select trade_date, WML, ILLIQ from ({_WML}) full join ({_ILQ}) using (trade_date))"
+
+
+def _factor_panel(spark, sf) -> DataFrame:
+    return factors.factor_returns(_liq(_mom(_sm(spark, sf))), size=False, value=False)
+
+
+@query(f"with {_FACTORS} select trade_date, round(WML, 8) as WML, round(ILLIQ, 8) as ILLIQ from fac")
+def factor_panel_full_outer(spark, sf):
+    return _factor_panel(spark, sf).select("trade_date", *r8("WML", "ILLIQ"))
+
+
+@query(f"with {R} select trade_date, round(avg(ret), 8) as MKT from r where ret is not null group by trade_date")
+def market_ew(spark, sf):
+    return factors.equal_weight_market(_sm(spark, sf)).select("trade_date", *r8("MKT"))
+
+
+# portfolios ---------------------------------------------------------------------------------------
+
+
+@query(f"with {R}, {P.UNI} select trade_date, symbol, ret from r where ret is not null and (trade_date, symbol) in (select as_of_date, symbol from uni)")
+def eligibility_semi_join(spark, sf):
+    uni = P.universe(spark, sf).withColumnRenamed("as_of_date", "trade_date")
+    return portfolio.filter_eligible(_sm(spark, sf), uni).select("trade_date", "symbol", "ret")
+
+
+def _weights_sql(source: str, w: str) -> str:
+    return f"""wts as (select trade_date, symbol, quantile, case when quantile = 5 then 0.5::double else -0.5::double end * ({w} / sum({w}) over (partition by trade_date, quantile)) as weight,
+        quantile = 5 as is_long, quantile = 1 as is_short from {source} where quantile in (1, 5))"""
+
+
+_B5 = buckets("mom", "b", "mom_12_1", 5)
+_EQ = f"{MOM}, {_B5}, {_weights_sql('b', '1.0::double')}"
+
+
+def _weights(spark, sf) -> DataFrame:
+    return portfolio.form_portfolio(_mom(_sm(spark, sf)), "mom_12_1")
+
+
+@query(f"with {_EQ} select trade_date, symbol, quantile, round(weight, 8) as weight, is_long, is_short from wts")
+def ls_weights_equal(spark, sf):
+    return _weights(spark, sf).select("trade_date", "symbol", "quantile", *r8("weight"), "is_long", "is_short")
+
+
+@query(
+    f"""with {_PF}, {buckets('pf', 'b', 'ret', 5)}, cap as (select * from b where market_cap > 0), {_weights_sql('cap', 'market_cap')}
+        select trade_date, symbol, quantile, round(weight, 8) as weight, is_long, is_short from wts"""
+)
+def ls_weights_value(spark, sf):
+    out = portfolio.form_portfolio(P.priced_with_fundamentals(spark, sf), "ret", weighting="value")
+    return out.select("trade_date", "symbol", "quantile", *r8("weight"), "is_long", "is_short")
+
+
+@query(f"with {_EQ} select trade_date, round(sum(abs(weight)), 8) as gross, count(*) filter (is_long) as n_long, count(*) filter (is_short) as n_short from wts group by trade_date")
+def weights_by_date(spark, sf):
+    return portfolio.weights_by_date(_weights(spark, sf)).select("trade_date", *r8("gross"), "n_long", "n_short")
+
+
+_HELD = """names as (select distinct symbol from wts), days as (select distinct trade_date from mom),
+    asof_ as (select g.trade_date, g.symbol, w.weight from (select * from days cross join names) g asof left join wts w on g.symbol = w.symbol and g.trade_date >= w.trade_date),
+    held as (select * from (select trade_date, symbol, lag(weight) over (partition by symbol order by trade_date) as weight from asof_) where weight is not null)"""
+
+
+@query(f"with {_EQ}, {_HELD} select trade_date, symbol, round(weight, 8) as weight from held")
+def propagate_weights(spark, sf):
+    held = portfolio.propagate(_weights(spark, sf), calendars.trading_calendar(P.supplier_month(spark, sf)))
+    return held.select("trade_date", "symbol", *r8("weight"))
+
+
+_TURN = """forms as (select trade_date, row_number() over (order by trade_date) as k from (select distinct trade_date from wts)),
+    chg as (select coalesce(c.k, p.k + 1) as k, coalesce(c.weight, 0) - coalesce(p.weight, 0) as d
+        from (select f.k, w.symbol, w.weight from wts w join forms f using (trade_date)) c full join (select f.k, w.symbol, w.weight from wts w join forms f using (trade_date)) p on c.symbol = p.symbol and c.k = p.k + 1),
+    turn as (select f.trade_date, f.k, case when f.k = 1 then 0 else t.one end as turnover_one_way, case when f.k = 1 then 0 else t.two end as turnover_two_way
+        from forms f join (select k, sum(greatest(d, 0)) as one, sum(abs(d)) / 2 as two from chg group by k) t on f.k = t.k)"""
+
+
+@query(f"with {_EQ}, {_TURN} select trade_date, round(turnover_one_way, 8) as turnover_one_way, round(turnover_two_way, 8) as turnover_two_way from turn")
+def turnover(spark, sf):
+    return portfolio.turnover(_weights(spark, sf)).select("trade_date", *r8("turnover_one_way", "turnover_two_way"))
+
+
+@query(f"with {_EQ}, {_TURN} select round(coalesce(avg(turnover_one_way), 0), 8) as avg_turnover_one_way, round(coalesce(avg(turnover_two_way), 0), 8) as avg_turnover_two_way from turn where k > 1")
+def avg_turnover(spark, sf):
+    return portfolio.average_turnover(portfolio.turnover(_weights(spark, sf))).select(*r8("avg_turnover_one_way", "avg_turnover_two_way"))
+
+
+_PNL = f"""{_EQ}, {_HELD}, {_TURN}, pnl as (select p.trade_date, gross_ret, coalesce(turnover_two_way * 10 / 10000, 0) as tc, gross_ret - coalesce(turnover_two_way * 10 / 10000, 0) as net_ret
+    from (select h.trade_date, coalesce(sum(h.weight * r.ret), 0) as gross_ret from held h left join r on h.trade_date = r.trade_date and h.symbol = r.symbol group by h.trade_date) p left join turn t on p.trade_date = t.trade_date),
+    wealth as (select *, product(1 + net_ret) over (order by trade_date rows unbounded preceding) as wealth from pnl)"""
+
+
+def _backtest(spark, sf) -> portfolio.BacktestResult:
+    config = portfolio.BacktestConfig("mom_12_1", tc_bps=10.0, validate_weights=False)
+    return portfolio.run_backtest(_mom(_sm(spark, sf)), config)
+
+
+@query(f"with {_PNL} select trade_date, round(gross_ret, 8) as gross_ret, round(tc, 8) as tc, round(net_ret, 8) as net_ret from pnl")
+def backtest_pnl_net(spark, sf):
+    return _backtest(spark, sf).pnl.select("trade_date", *r8("gross_ret", "tc", "net_ret"))
+
+
+@query(f"with {_PNL} select trade_date, round(wealth, 8) as wealth from wealth")
+def wealth(spark, sf):
+    return _backtest(spark, sf).pnl.select("trade_date", *r8("wealth"))
+
+
+@query(f"with {_PNL} select trade_date, round(wealth / max(wealth) over (order by trade_date rows unbounded preceding) - 1, 8) as drawdown from wealth")
+def drawdown(spark, sf):
+    return metrics.drawdown_path(_backtest(spark, sf).pnl).select("trade_date", *r8("drawdown"))
+
+
+def _summary_sql(source: str, ret: str, by: str = "") -> str:
+    part, group = (f"partition by {by} ", f"group by {by}") if by else ("", "")
+    lead = f"{by}, " if by else ""
+    return f"""select {lead}count({ret})::double as n_obs, round(avg({ret}), 8) as mean, round(stddev_samp({ret}), 8) as std, round(avg({ret}) * 252, 8) as ann_mean, round(stddev_samp({ret}) * sqrt(252), 8) as ann_vol,
+        round(sqrt(252) * avg({ret}) / stddev_samp({ret}), 8) as sharpe, round(min(wlt / pk - 1), 8) as max_drawdown, round(avg(({ret} > 0)::int), 8) as hit_rate, round((max_by(wlt, trade_date) - 1) / (1 + abs(max_by(wlt, trade_date) - 1)), 8) as bounded_return
+        from (select *, max(wlt) over ({part}order by trade_date rows unbounded preceding) as pk from (select *, product(1 + {ret}) over ({part}order by trade_date rows unbounded preceding) as wlt from {source})) {group}"""
+
+
+@query(f"with {_PNL} {_summary_sql('pnl', 'net_ret')}")
+def return_summary(spark, sf):
+    out = metrics.summary(_backtest(spark, sf).pnl, "net_ret")
+    return out.select("n_obs", *stats8())
+
+
+_SPREAD = f"{MOM}, {_B5}, spread as (select trade_date, quantile, avg(ret) as q_ret from b where quantile is not null and ret is not null group by all)"
+
+
+@query(f"with {_SPREAD} select trade_date, quantile, round(q_ret, 8) as q_ret from spread")
+def quantile_spread(spark, sf):
+    return portfolio.quantile_spread(_mom(_sm(spark, sf)), "mom_12_1").select("trade_date", "quantile", *r8("q_ret"))
+
+
+@query(f"with {_SPREAD} {_summary_sql('spread', 'q_ret', 'quantile')}")
+def quantile_metrics(spark, sf):
+    out = metrics.quantile_metrics(portfolio.quantile_spread(_mom(_sm(spark, sf)), "mom_12_1"))
+    return out.select("quantile", "n_obs", *stats8())
+
+
+# statistics ---------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with {_FACTORS}, k as (select * from fac where WML is not null and ILLIQ is not null), c as (select corr(WML, ILLIQ) as c from k)
+        select 'WML' as factor, 1.0::double as WML, round(c, 8) as ILLIQ from c union all select 'ILLIQ', round(c, 8), 1.0::double from c"""
+)
+def factor_corr(spark, sf):
+    return metrics.correlation_matrix(_factor_panel(spark, sf), ["WML", "ILLIQ"]).select("factor", *r8("WML", "ILLIQ"))
+
+
+def _nw_sql(source: str, value: str, by: str, extra: str = "") -> str:
+    """Robust means per ``by`` of a source with trade_date."""
+    return f"""nw_x as (select {by} as g, {value} as v, row_number() over (partition by {by} order by trade_date) as i, count(*) over (partition by {by}) as n, avg({value}) over (partition by {by}) as m from {source} where {value} is not null),
+        nw_e as (select *, v - m as e, greatest(least(floor(4 * power(n / 100.0::double, 2.0::double / 9)), n - 1), 0)::int as L from nw_x),
+        nw_c as (select a.g, sum(a.e * b.e * case when a.i = b.i then 1 else 2 * (1 - (a.i - b.i) / (a.L + 1.0::double)) end) as s from nw_e a join nw_e b on a.g = b.g and b.i <= a.i and a.i - b.i <= a.L group by a.g),
+        nw as (select c.g as name, any_value(e.m) as mean, case when any_value(e.L) > 0 then sqrt(greatest(any_value(c.s), 0)) / any_value(e.n) else sqrt(any_value(c.s) / ((any_value(e.n) - 1) * any_value(e.n)::double)) end as nw_se, any_value(e.n)::double as n_periods
+            from nw_c c join nw_e e on c.g = e.g group by c.g having any_value(e.n) >= 2)"""
+
+
+_NW_OUT = "select name, round(mean, 8) as mean, round(nw_se, 8) as nw_se, round(mean / nw_se, 6) as t_stat, n_periods from nw"
+
+
+def _nw_columns(df: DataFrame) -> DataFrame:
+    return df.select("name", *r8("mean", "nw_se"), F.round("t_stat", 6).alias("t_stat"), "n_periods")
+
+
+@query(f"with {MOM}, {terciles('mom', 'momt', 'mom_12_1', 'lab')}, w as ({_WML}), {_nw_sql('w', 'WML', chr(39) + 'WML' + chr(39))} {_NW_OUT}")
+def newey_west_mean(spark, sf):
+    series = factors.wml(_mom(_sm(spark, sf)), weighting="equal").withColumn("name", F.lit("WML"))
+    return _nw_columns(regress.newey_west(series, "WML", ["name"], pvalues=False))
+
+
+_MKT = "mkt as (select trade_date, avg(ret) as MKT from r where ret is not null group by trade_date)"
+_BETA = f"{R}, {_MKT}, betas as (select symbol, count(*) as n_obs, regr_intercept(ret, MKT) as alpha, regr_slope(ret, MKT) as beta_MKT from r join mkt using (trade_date) where ret is not null group by symbol having count(*) >= 60)"
+
+
+@query(f"with {_BETA} select symbol, n_obs, round(alpha, 8) as alpha, round(beta_MKT, 8) as beta_MKT from betas")
+def ts_betas_single(spark, sf):
+    panel = _sm(spark, sf)
+    return regress.time_series_betas(panel, factors.equal_weight_market(panel), ["MKT"], "ret").select("symbol", "n_obs", *r8("alpha", "beta_MKT"))
+
+
+_GAMMA = f"{MOM}, gam as (select trade_date, regr_intercept(ret, mom_12_1) as intercept, regr_slope(ret, mom_12_1) as mom_12_1 from mom where ret is not null and mom_12_1 is not null group by trade_date having count(*) >= 20)"
+
+
+@query(f"with {_GAMMA} select trade_date, round(intercept, 8) as intercept, round(mom_12_1, 8) as mom_12_1 from gam")
+def fm_gamma_single(spark, sf):
+    out = regress.fama_macbeth(_mom(_sm(spark, sf)), ["mom_12_1"], "ret", pvalues=False)
+    return out.path.select("trade_date", *r8("intercept", "mom_12_1"))
+
+
+@query(f"with {_GAMMA}, long_ as (select trade_date, 'intercept' as name, intercept as value from gam union all select trade_date, 'mom_12_1', mom_12_1 from gam), {_nw_sql('long_', 'value', 'name')} {_NW_OUT}")
+def fm_lambdas_single(spark, sf):
+    return _nw_columns(regress.fama_macbeth(_mom(_sm(spark, sf)), ["mom_12_1"], "ret", pvalues=False).lambdas)
+
+
+@query(
+    f"""with {_BETA}, gam as (select trade_date, regr_intercept(ret, beta_MKT) as intercept, regr_slope(ret, beta_MKT) as slope from r join betas using (symbol) where ret is not null group by trade_date having count(*) >= 20),
+        long_ as (select trade_date, 'intercept' as name, intercept as value from gam union all select trade_date, 'beta_MKT', slope from gam), {_nw_sql('long_', 'value', 'name')} {_NW_OUT}"""
+)
+def fm_two_pass(spark, sf):
+    panel = _sm(spark, sf)
+    return _nw_columns(regress.fama_macbeth_two_pass(panel, factors.equal_weight_market(panel), ["MKT"], "ret", pvalues=False).lambdas)
+
+
+@query(
+    f"""with {_FACTORS}, long_ as (select trade_date, 'WML' as name, WML as value from fac where WML is not null union all select trade_date, 'ILLIQ', ILLIQ from fac where ILLIQ is not null),
+        {_nw_sql('long_', 'value', 'name')}, sm_ as ({_summary_sql('long_', 'value', 'name')})
+        select sm_.*, round(nw.nw_se, 8) as nw_se, round(nw.mean / nw.nw_se, 6) as t_stat from sm_ join nw using (name)"""
+)
+def factor_metrics(spark, sf):
+    out = regress.factor_metrics(_factor_panel(spark, sf), ["WML", "ILLIQ"], pvalues=False)
+    return out.select("name", "n_obs", *stats8(), *r8("nw_se"), F.round("t_stat", 6).alias("t_stat"))
+
+
+@query()
+def fm_p_values(spark, sf):
+    """Premia with p-values, which DuckDB has no function for."""
+    return regress.fama_macbeth(_mom(_sm(spark, sf)), ["mom_12_1"], "ret").lambdas
+
+
+@query(
+    f"""with {_GAMMA}, {_B5}, spread as (select trade_date, quantile, avg(ret) as q_ret from b where quantile is not null and ret is not null group by all),
+        long_ as (select trade_date, 'intercept' as name, intercept as value from gam union all select trade_date, 'mom_12_1', mom_12_1 from gam), {_nw_sql('long_', 'value', 'name')},
+        q as ({_summary_sql('spread', 'q_ret', 'quantile')})
+        select 'fm_premium' as section, name, round(mean, 8) as value, round(mean / nw_se, 6) as t_stat, round(nw_se, 8) as nw_se from nw
+        union all select 'quantile', 'Q' || quantile, sharpe, null, null from q"""
+)
+def diagnostics_union(spark, sf):
+    panel = _mom(_sm(spark, sf))
+    premia = regress.fama_macbeth(panel, ["mom_12_1"], "ret", pvalues=False).lambdas
+    out = regress.diagnostics(premia, None, metrics.quantile_metrics(portfolio.quantile_spread(panel, "mom_12_1")))
+    return out.select("section", "name", *r8("value"), F.round("t_stat", 6).alias("t_stat"), *r8("nw_se"))
