@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .functions.sqlforms import VALUE_WEIGHT, buckets, long_short, nearest, terciles
-from .operators import calendars, clean, cross_section, factors, fundamentals, metrics, portfolio, regress, returns, signals
+from .operators import calendars, clean, cross_section, factors, fundamentals, metrics, overview, portfolio, regress, returns, signals
 from .plans import panels as P
+from .sources import html_tables, prices, vendor_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -664,3 +666,107 @@ def diagnostics_union(spark, sf):
     premia = regress.fama_macbeth(panel, ["mom_12_1"], "ret", pvalues=False).lambdas
     out = regress.diagnostics(premia, None, metrics.quantile_metrics(portfolio.quantile_spread(panel, "mom_12_1")))
     return out.select("section", "name", *r8("value"), F.round("t_stat", 6).alias("t_stat"), *r8("nw_se"))
+
+
+# sources, sinks and SQL ---------------------------------------------------------------------------
+
+
+@query(f"with {P.SD} select trade_date, symbol, close, tottrdqty, tottrdval from sd")
+def partitioned_roundtrip(spark, sf):
+    path = store.scratch(spark, "roundtrip")
+    store.write_partitioned(P.supplier_day(spark, sf), path)
+    return store.read_partitioned(spark, path, columns=["trade_date", "symbol", "close", "tottrdqty", "tottrdval"])
+
+
+@query(f"with {P.SD} select symbol, count(*) as n from sd group by symbol")
+def sql_view_count(spark, sf):
+    P.supplier_day(spark, sf).createOrReplaceTempView("panelwright_sd")
+    return store.sql(spark, "select symbol, count(*) as n from panelwright_sd group by 1")
+
+
+@query("select event_type, count(*) as n, sum(json_extract_string(props, '$.k')::bigint)::bigint as k_sum from events group by event_type")
+def json_extract(spark, sf):
+    rows = P.table(spark, sf, "events").select("event_type", F.from_json("props", "k string").getField("k").try_cast("bigint").alias("k"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k_sum"))
+
+
+def _book_pages(spark, sf) -> DataFrame:
+    """A page with a balance sheet per supplier, from the month-end quarters' cents."""
+    own = P.fundamentals(spark, sf).select("symbol", "as_of_date", F.round(F.col("market_cap") * 100).cast("bigint").alias("a"), F.round(F.col("book_value") * 100).cast("bigint").alias("b"))
+    cells = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("as_of_date", "a", "b"))), f), "")
+    grouped = own.groupBy("symbol").agg(
+        cells(lambda q: F.concat(F.lit("<th>"), F.date_format(q["as_of_date"], "MMM yyyy"), F.lit("</th>"))).alias("head"),
+        cells(lambda q: F.concat(F.lit("<td>"), F.format_number(q["a"], 0), F.lit("</td>"))).alias("a"),
+        cells(lambda q: F.concat(F.lit("<td>"), F.format_number(q["b"], 0), F.lit("</td>"))).alias("b"),
+    )
+    table = F.concat(
+        F.lit("<html><section id='quarters'><table class='data-table'><tr><td>x</td></tr></table></section><section id='balance-sheet'><table class='data-table'><thead><tr><th></th>"),
+        "head", F.lit("</tr></thead><tr><td>Equity Capital</td>"), "a", F.lit("</tr><tr><td>Reserves&nbsp;+</td>"), "b", F.lit("</tr><tr><td>Raw PDF</td></tr></table></section></html>"),
+    )
+    return grouped.select("symbol", table.alias("html"))
+
+
+@query(
+    f"""with {P.FUND} select symbol, 'Equity Capital' as label, as_of_date, round(market_cap * 100)::bigint::double as value_crore from fund
+        union all select symbol, 'Reserves', as_of_date, round(book_value * 100)::bigint::double from fund"""
+)
+def html_balance_sheet(spark, sf):
+    return html_tables.balance_sheets(_book_pages(spark, sf))
+
+
+@query(f"with {P.FUND} select symbol, as_of_date, available_date, (round(market_cap * 100)::bigint + round(book_value * 100)::bigint)::double * 1e7 as book_value from fund")
+def html_book_equity(spark, sf):
+    return html_tables.book_equity(html_tables.balance_sheets(_book_pages(spark, sf))).select("symbol", "as_of_date", "available_date", "book_value")
+
+
+@query(f"with {P.FUND} select symbol, as_of_date, as_of_date as available_date, market_cap, book_value * 10 as book_value, book_value * 10 / market_cap as book_to_market from fund")
+def vendor_sections(spark, sf):
+    own = P.fundamentals(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    body = F.to_json(
+        F.struct(
+            F.struct(text("market_cap").alias("MarketCapitalization"), text("book_value").alias("BookValue"), text("as_of_date").alias("MostRecentQuarter")).alias("Highlights"),
+            F.struct(F.lit("0").alias("PriceBookMRQ")).alias("Valuation"),
+            F.struct(F.lit("10").alias("SharesOutstanding")).alias("SharesStats"),
+        )
+    )
+    return vendor_json.section_snapshot(own.select("symbol", body.alias("body")))
+
+
+@query(
+    f"""with {P.FUND} select symbol, as_of_date, (as_of_date + interval 45 day)::date as available_date, book_value from fund
+        qualify row_number() over (partition by symbol order by as_of_date desc) <= 8"""
+)
+def vendor_quarters(spark, sf):
+    own = P.fundamentals(spark, sf)
+    entry = F.struct(F.col("as_of_date").cast("string").alias("date"), F.date_add("as_of_date", 45).cast("string").alias("filing_date"), F.col("book_value").cast("string").alias("totalStockholderEquity"))
+    landed = own.groupBy("symbol").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("as_of_date").cast("string"), entry)))).alias("body"))
+    return vendor_json.period_map_quarters(landed, periods=8).select("symbol", "as_of_date", "available_date", "book_value")
+
+
+@query(
+    f"""with {P.SDS} select trade_date, symbol, series, close, tottrdqty, tottrdval from sds where series in ('EQ', 'BE')
+        qualify row_number() over (partition by trade_date, symbol order by case series when 'EQ' then 0 else 1 end) = 1"""
+)
+def price_files(spark, sf):
+    """The panel written as price files of the newer dialect and parsed back."""
+    rows = P.supplier_day_series(spark, sf)
+    path = store.scratch(spark, "files")
+    named = rows.select(F.col("trade_date").alias("TradDt"), F.col("symbol").alias("TckrSymb"), F.col("series").alias("SctySrs"), F.col("close").alias("ClsPric"), F.col("tottrdqty").alias("TtlTradgVol"), F.col("tottrdval").alias("TtlTrfVal"))
+    named.write.option("header", True).csv(path)
+    return prices.read_price_files(spark, path).select("trade_date", "symbol", "series", "close", "tottrdqty", "tottrdval")
+
+
+@query(f"with {P.SDS} select series, count(*) as n from sds group by series")
+def series_mix(spark, sf):
+    return overview.series_mix(P.supplier_day_series(spark, sf))
+
+
+@query(f"with {P.SD} select trade_date, count(distinct symbol) as n_symbols from sd group by trade_date")
+def coverage(spark, sf):
+    return overview.coverage(P.supplier_day(spark, sf))
+
+
+@query(f"with {R} select 'ret' as name, count(ret) as n, round(avg(ret), 8) as mean, round(stddev_samp(ret), 8) as std, min(ret) as least, max(ret) as most from r")
+def describe_returns(spark, sf):
+    return overview.describe(_sm(spark, sf), ["ret"]).select("name", "n", *r8("mean", "std"), "least", "most")

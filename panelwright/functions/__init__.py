@@ -1 +1 @@
-
+"""Column expressions and their SQL forms."""

@@ -1 +1 @@
-
+"""Readers and parsers of raw inputs."""
