@@ -17,7 +17,7 @@ or weights of 0, nothing is returned. Other columns pass through unchanged; ``co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The largest mean that is inverted in one draw, and the terms of its distribution that a double can tell from 1.
@@ -37,8 +37,8 @@ def _rates(docs: DataFrame, bucket: Column, text: Column, weights: dict[str, flo
     known = F.create_map(*[F.lit(x) for k, w in {**weights, REST: rest}.items() for x in (k, float(w))])
     sizes = docs.select(bucket.alias("bucket"), F.octet_length(text).alias("size")).groupBy("bucket").agg(F.sum("size").alias("size"))
     sizes = sizes.where("size > 0").withColumn("weight", F.element_at(known, F.col("bucket"))).where("weight > 0")
-    total = sizes.agg(F.sum("size").alias("total"), F.sum("weight").alias("weights"))
-    rates = sizes.crossJoin(total).withColumn("rate", F.expr("weight / weights * total / size"))  # one row of totals
+    whole = Window.partitionBy(F.lit(0))  # at most one row per listed weight and one more
+    rates = sizes.withColumns({"total": F.sum("size").over(whole), "weights": F.sum("weight").over(whole)}).withColumn("rate", F.expr("weight / weights * total / size"))
     rates = rates.withColumn("pieces", F.ceil(F.col("rate") / SPLIT).cast("int")).withColumn("mean", F.col("rate") / F.col("pieces"))
     cdf = f"""aggregate(sequence(1, {TERMS}),
         named_struct('p', exp(-mean), 'c', exp(-mean), 'all', array(exp(-mean))),
