@@ -24,3 +24,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, standard deviation, minimum and maximum per column."""
     parts = [F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most")) for c in columns]
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def to_numpy(df: DataFrame, column: str):
+    """A column of a small frame as an array."""
+    return df.select(column).toArrow()[column].to_numpy(zero_copy_only=False)

@@ -102,3 +102,21 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/panelwright"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def discover(spark: SparkSession, *folders: str) -> list[str]:
+    """Candidate files of some folders: CSV before Parquet, each in order of name."""
+    found = []
+    for folder in folders:
+        if exists(spark, folder):
+            fs, place = _fs(spark, folder)
+            found += [s.getPath().toString() for s in fs.listStatus(place)]
+    return [p for ending in (".csv", ".parquet") for p in sorted(found) if p.lower().endswith(ending)]
+
+
+def snappy_files(spark: SparkSession, path: str) -> list[str]:
+    """The table's data files; raises where there is none, or one that isn't Snappy Parquet by name."""
+    files = sorted(spark.read.option("recursiveFileLookup", "true").format("parquet").load(path).inputFiles())
+    if not files or not all(f.endswith(".snappy.parquet") for f in files):
+        raise AssertionError(f"not Snappy Parquet: {files[:3]}")
+    return files

@@ -156,3 +156,26 @@ def test_command_line_end_to_end(spark, tmp_path):
     text = (tmp_path / "reports/tearsheet.md").read_text()
     assert "Two-pass premia" in text and "beta_MKT" in text
     assert spark.read.parquet(f"{lake}/returns").where(F.col("excess_ret").isNotNull()).count() == 25 * 69
+
+
+def test_statement_lines(spark):
+    from panelwright.operators.overview import to_numpy
+    from panelwright.sources import statements
+
+    day = dt.date(2020, 3, 31)
+    lines = spark.createDataFrame([("A", day, "Total Equity Gross Minority Interest", 9.0), ("A", day, "Common Stock Equity", 8.0), ("B", day, "Shareholders equity, net", 7.0), ("B", day, "Cash", 1.0)], "symbol string, as_of_date date, label string, value double")
+    closes = spark.createDataFrame([(dt.date(2020, 3, 27), "A", 2.0)], "trade_date date, symbol string, close double")
+    shares = spark.createDataFrame([(dt.date(2020, 1, 1), "A", 10.0)], "as_of_date date, symbol string, shares double")
+    out = {r.symbol: r for r in statements.quarterly_fundamentals(lines, closes, shares).collect()}
+    assert out["A"].book_value == 8.0 and out["A"].book_to_market == pytest.approx(0.4) and out["A"].available_date == dt.date(2020, 6, 30)
+    assert out["B"].book_value == 7.0 and out["B"].market_cap is None
+    row = spark.range(1).select(statements.resolved_shares(F.lit(None).cast("double"), F.lit(0.0), F.lit(None).cast("double"), F.lit(50.0), F.lit(5.0)).alias("x"))
+    assert to_numpy(row, "x").tolist() == [10.0]
+
+
+def test_discovery_order(spark, tmp_path):
+    for name in ("b.parquet", "a.parquet", "z.csv", "y.CSV", "x.txt"):
+        (tmp_path / name).write_text("")
+    assert [p.rsplit("/", 1)[1] for p in store.discover(spark, str(tmp_path), str(tmp_path / "none"))] == ["y.CSV", "z.csv", "a.parquet", "b.parquet"]
+    store.write_flat(spark.range(3), str(tmp_path / "t"))
+    assert store.snappy_files(spark, str(tmp_path / "t"))
