@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,4 +25,20 @@ def build_session(app: str = "panelwright", master: str | None = None, **more: s
         builder = builder.master(master)
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a context, so that they need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_panelwright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    place = Path(tempfile.mkdtemp(prefix="panelwright-"), "panelwright.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(place, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(place))
+    context._panelwright_shipped = True
