@@ -1,8 +1,10 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps.
+"""Connected components of a table of links, by contraction.
 
-Nothing of the graph reaches the driver but two numbers a step (how many links, and a sum of
-their hashes). Minima are summed per node before the shuffle, and each join reads two written
-tables, so that Spark may split it where a node has very many links.
+In each round every node goes to the neighbour of least rank (a fixed hash), or stays where its
+own is least; links are then drawn between the nodes gone to. A star contracts in two rounds, a
+chain by a constant factor a round. Nothing of the graph reaches the driver but whether links are
+left. Minima are summed per node before the shuffle, and joins read written tables, so that Spark
+may split them where a node has very many links.
 """
 
 from __future__ import annotations
@@ -13,37 +15,24 @@ from pyspark.sql import functions as F
 from .staging import Staging
 
 
-def _stars(pairs: DataFrame, stage: Staging, name: str, keep_low: bool) -> DataFrame:
-    """Links (u, v) hung from u's least neighbour; ``keep_low`` also hangs u itself there."""
-    low = stage.put(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low")
-    joined = pairs.join(low, "u")
-    out = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if keep_low:
-        out = out.union(low.select("u", F.col("m").alias("v")).where("u != v"))
-    return stage.put(out.where("u != v").distinct(), name)
-
-
-def _print(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
-
-
 def component_links(links: DataFrame, stage: Staging, name: str) -> DataFrame:
-    """(u, v): each node that has a link and isn't the least of its component, with that least node.
-
-    ``links`` is a staged table (u, v) of node numbers without loops.
-    """
-    before, k = None, 0
-    while True:
-        both = stage.put(links.union(links.select("v", "u")).distinct(), f"{name}-both{k}")
-        large = both.join(stage.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-min{k}"), "u")
-        large = stage.put(large.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(large.where("m < u").select("u", F.col("m").alias("v"))).distinct(), f"{name}-large{k}")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        links = _stars(stage.put(down, f"{name}-down{k}"), stage, f"{name}-small{k}", True)
-        stage.drop(f"{name}-both{k}", f"{name}-min{k}", f"{name}-large{k}", f"{name}-down{k}", f"{name}-small{k}-low")
-        now = _print(links)
-        if now == before:
-            return links
-        if k:
-            stage.drop(f"{name}-small{k - 1}")
-        before, k = now, k + 1
+    """(u, v): each node of ``links`` (u, v: node numbers, no loops) with the node that stands for its component, where it is another."""
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("c"))
+    steps: list[DataFrame] = []
+    while not links.isEmpty():
+        both = links.select("u", "v").union(links.select("v", "u"))
+        least = F.least(F.min(rank("v")), rank("u"))
+        step = stage.put(both.groupBy("u").agg(least.getField("c").alias("to")), f"{name}-step{len(steps)}")
+        gone = links.join(step.select("u", F.col("to").alias("a")), "u").join(step.select(F.col("u").alias("v"), F.col("to").alias("b")), "v")
+        links = stage.put(gone.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"{name}-links{len(steps)}")
+        if steps:
+            stage.drop(f"{name}-links{len(steps) - 1}")
+        steps.append(step)
+    if not steps:
+        return links
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.join(step.select(F.col("u").alias("to"), F.col("to").alias("further")), "to", "left").select("u", F.coalesce("further", "to").alias("to"))
+    out = stage.put(out.where("u != to").select("u", F.col("to").alias("v")), name)
+    stage.drop(*[f"{name}-step{k}" for k in range(len(steps))], f"{name}-links{len(steps) - 1}")
+    return out

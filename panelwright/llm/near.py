@@ -8,9 +8,11 @@ if they share a sketch: at similarity 0.8 all but about one pair in 80,000 do.
 
 Texts that share a sketch aren't all paired. A bucket's hub is its member whose sketches are
 shared most, and each member is compared with its hubs. Where a hub's members end up in different
-components, what is left to find are pairs that share k-mers which the hub lacks: each member
-draws those of its k-mers that the hub lacks, the least first, as many as a partner of similarity
-0.8 can't all miss, and the k-mers drawn make the next round's buckets.
+components, the hub's most similar member takes its place (in a group of edited copies that is the
+original, or as good as it) and is compared with the members outside its component. What is left
+to find then are pairs that share k-mers which the hub lacks: each member draws those of its
+k-mers that the hub lacks, the least first, as many as a partner of similarity 0.8 can't all miss,
+and the k-mers drawn make the next round's buckets.
 
 Verification aligns the two sequences of labelled k-mers: equal k-mers whose places differ by at
 most the band (the k-mers that a pair of similarity 0.8 can have unmatched) are chained in order;
@@ -42,8 +44,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 SAMPLED = 3
-#: Rounds of hubs: the sketches' buckets, then twice those of k-mers that a hub lacks.
-ROUNDS = 3
+#: Rounds of hubs: the sketches' buckets, then those of k-mers that a hub lacks.
+ROUNDS = 2
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), 0x5F, *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -138,15 +140,19 @@ def chained(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return len(tops)
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sequences of labelled k-mers are similar enough."""
+def alignment(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sequences of labelled k-mers; 0 where their lengths alone rule out the limit."""
     na, nb = len(a), len(b)
     least = SIMILARITY / (1 + SIMILARITY) * (na + nb)  # matches at the limit
-    if min(na, nb) < least - 1e-9:
-        return False
-    band = int(max(na, nb) - least) + 1
-    m = chained(a, b, band)
-    return m >= SIMILARITY * (na + nb - m) - 1e-9
+    if not na or min(na, nb) < least - 1e-9:
+        return 0.0
+    m = chained(a, b, int(max(na, nb) - least) + 1)
+    return m / (na + nb - m)
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sequences of labelled k-mers are similar enough."""
+    return alignment(a, b) >= SIMILARITY - 1e-9
 
 
 def _kmer_lists(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -157,10 +163,11 @@ def _kmer_lists(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v) of the rows (u, v, a, b) whose texts a and b are similar enough."""
+    """(u, v, sim, ok) of the rows (u, v, a, b): how similar the texts a and b are, and whether enough."""
     for batch in batches:
-        ok = [aligned(x, y) for x, y in zip(_kmer_lists(batch.column("a")), _kmer_lists(batch.column("b")), strict=True)]
-        yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        sim = [alignment(x, y) for x, y in zip(_kmer_lists(batch.column("a")), _kmer_lists(batch.column("b")), strict=True)]
+        ok = [x >= SIMILARITY - 1e-9 for x in sim]
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sim, pa.float64()), pa.array(ok, pa.bool_())], ["u", "v", "sim", "ok"])
 
 
 def lacking(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
@@ -185,52 +192,73 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
 
-def _labels(links: DataFrame, stage: Staging, name: str) -> DataFrame:
-    return component_links(links, stage, name).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+def _placed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the components cu and cv of both."""
+    of = labels.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
+    to = labels.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+    return pairs.join(of, "u", "left").join(to, "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")})
+
+
+class _Links:
+    """Compares pairs, and keeps the components of what was linked so far."""
+
+    def __init__(self, texts: DataFrame, stage: Staging):
+        self.texts, self.stage, self.n = texts, stage, 0
+        self.tried: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """(u, v, sim, ok) of the pairs that are in different components and not compared yet."""
+        stage, n = self.stage, self.n
+        if self.labels is not None:
+            pairs = _placed(pairs, self.labels).where("cu != cv").select("u", "v")
+            pairs = pairs.join(self.tried, ["u", "v"], "left_anti")
+        pairs = stage.put(pairs, f"pairs{n}")
+        if self.tried is None:  # all later pairs are of nodes of these
+            needed = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
+            self.texts = stage.put(self.texts.join(stage.put(needed, "needed"), "rid"), "texts")
+        found = stage.put(_with_texts(pairs, self.texts).mapInArrow(_verified, "u long, v long, sim double, ok boolean"), f"found{n}")
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        new = found.where("ok").select("u", "v")
+        if self.labels is None or not new.isEmpty():
+            old = [] if self.labels is None else [self.labels.select(F.col("node").alias("u"), F.col("comp").alias("v"))]
+            for more in old:
+                new = new.union(more)
+            self.labels = component_links(new, stage, f"parts{n}").select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        self.n += 1
+        return found
 
 
 def near_links(texts: DataFrame, sketched: DataFrame, stage: Staging) -> DataFrame:
-    """(node, comp) for all nodes that are linked to a lesser one.
+    """(node, comp) for all nodes that are linked and don't stand for their component themselves.
 
     ``texts`` has (rid, text), ``sketched`` (rid, sketch), each node once.
     """
+    links = _Links(texts, stage)
     keys = sketched.select(F.col("rid").alias("node"), F.posexplode("sketch").alias("j", "key")).select("key", "node")
-    links = tried = labels = None
     for k in range(ROUNDS):
         keys = stage.put(keys, f"keys{k}")
         buckets = stage.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"buckets{k}")
         shared = stage.put(keys.join(buckets, "key"), f"shared{k}")
-        stage.drop(f"keys{k}")
-        fame = stage.put(shared.groupBy("node").agg(F.sum("n").alias("fame")), f"fame{k}")
-        famed = stage.put(shared.join(fame, "node").select("key", "node", "fame"), f"famed{k}")
+        famed = stage.put(shared.join(shared.groupBy("node").agg(F.sum("n").alias("fame")), "node").select("key", "node", "fame"), f"famed{k}")
         hubs = stage.put(famed.groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("hub")), f"hubs{k}")
         pairs = famed.select("key", "node").join(hubs, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-        if labels is not None:
-            of = labels.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
-            to = labels.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-            pairs = pairs.join(of, "u", "left").join(to, "v", "left").where("coalesce(cu, u) != coalesce(cv, v)").select("u", "v")
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = stage.put(pairs, f"pairs{k}")
-        if not k:  # later rounds pair only nodes of these pairs
-            needed = stage.put(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "needed")
-            texts = stage.put(texts.join(needed, "rid"), "texts")
-        found = stage.put(_with_texts(pairs, texts).mapInArrow(_verified, "u long, v long"), f"found{k}")
-        for used in ("buckets", "shared", "fame", "famed", "hubs"):
-            stage.drop(f"{used}{k}")
-        tried = pairs if tried is None else tried.union(pairs)
-        if k and found.isEmpty():
-            return labels
-        links = found if links is None else stage.put(links.union(found), f"links{k}")
-        labels = _labels(links, stage, f"parts{k}")
-        if k + 1 == ROUNDS:
-            break
-        of = labels.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
-        to = labels.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-        placed = stage.put(pairs.join(of, "u", "left").join(to, "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")), f"placed{k}")
-        torn = stage.put(placed.groupBy("v").agg(F.count("*").alias("n"), F.count_if(F.col("cu") != F.col("cv")).alias("apart")).where("apart > 0 and n > 1").select("v"), f"torn{k}")
-        again = stage.put(placed.select("u", "v").join(torn, "v", "left_semi").select("u", "v"), f"again{k}")
-        keys = _with_texts(again, texts).mapInArrow(_lacked, "key long, node long")
-    return labels
+        family = links.compare(pairs)
+        stage.drop(*[f"{used}{k}" for used in ("keys", "buckets", "shared", "famed", "hubs")])
+        # a family that fell apart goes to its hub's most similar member
+        placed = stage.put(_placed(family, links.labels), f"placed{k}")
+        best = F.max_by("u", F.struct("sim", -F.col("u"))).alias("w")
+        torn = placed.groupBy("v").agg(F.count("*").alias("n"), F.count_if(F.col("cu") != F.col("cv")).alias("apart"), best).where("apart > 0 and n > 1").select("v", "w")
+        torn = stage.put(torn, f"torn{k}")
+        moved = placed.select("u", "v").join(torn, "v").where("u != w").select("u", F.col("w").alias("v")).distinct()
+        moved = stage.put(moved, f"moved{k}")
+        links.compare(moved)
+        if k + 1 < ROUNDS:
+            left = _placed(moved, links.labels)
+            loose = left.groupBy("v").agg(F.count_if(F.col("cu") != F.col("cv")).alias("apart")).where("apart > 0").select("v")
+            again = stage.put(moved.join(stage.put(loose, f"loose{k}"), "v"), f"again{k}")
+            keys = _with_texts(again.select("u", "v"), links.texts).mapInArrow(_lacked, "key long, node long").distinct()
+    return links.labels
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False) -> DataFrame:

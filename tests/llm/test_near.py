@@ -117,4 +117,6 @@ def test_components(spark):
     for _ in range(len(pairs)):
         for a, b in pairs:
             parent[a] = parent[b] = min(parent[a], parent[b])
-    assert got == {x: p for x, p in parent.items() if x != p}
+    group = lambda where: {frozenset(y for y in parent if where(y) == where(x)) for x in parent}
+    assert group(lambda x: got.get(x, x)) == group(parent.get)
+    assert component_links(links.where("false"), stage, "d").count() == 0
