@@ -21,7 +21,9 @@ empty string. Null ids and repeated rows are kept. Other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 PAIRS = 1_000_000
 #: About so many characters of texts are encoded together.
 CHUNK = 1 << 20
@@ -67,8 +69,12 @@ class Codec:
         self.ranks = {(self.vocab[a], self.vocab[b]): (k, self.vocab[a + b]) for k, (a, b) in enumerate(pairs)}
         self.table = str.maketrans({chr(b): c for b, c in enumerate(_alphabet())})
         self.longest = max(map(len, self.vocab))
-        self.spaces = regex.compile(f"[{_SPACE}]+")
+        self.reach: dict[str, int] = {}  # the longest piece that begins with three symbols
+        for name in self.vocab:
+            if len(name) > 2:
+                self.reach[name[:3]] = max(self.reach.get(name[:3], 2), len(name))
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+")
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.pair_keys = np.zeros(0, np.int64)
         self.pair_ok = np.zeros(0, bool)
@@ -101,16 +107,19 @@ class Codec:
         ranks = self.ranks
         if len(ids) > SCANNED:
             return self._merged_long(ids)
-        ids = list(ids)
-        while len(ids) > 1:
-            best, where, new = 1 << 60, -1, -1
-            for k, pair in enumerate(zip(ids, ids[1:])):
-                found = ranks.get(pair)
-                if found and found[0] < best:
-                    (best, new), where = found, k
-            if where < 0:
+        ids, none = list(ids), (1 << 60, -1)
+        found = [ranks.get(pair, none) for pair in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
                 break
-            ids[where : where + 2] = [new]
+            k = found.index(best)
+            ids[k] = best[1]
+            del ids[k + 1], found[k]
+            if k:
+                found[k - 1] = ranks.get((ids[k - 1], ids[k]), none)
+            if k < len(found):
+                found[k] = ranks.get((ids[k], ids[k + 1]), none)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -135,16 +144,18 @@ class Codec:
     def greedy(self, word: str) -> list[int]:
         """The word's bytes cut from the left into the longest pieces of the vocabulary."""
         s = word.encode().decode("latin-1").translate(self.table)
-        n, at, out, vocab = len(s), 0, [], self.vocab
+        n, at, out, vocab, reach = len(s), 0, [], self.vocab, self.reach
         while at < n:
             if (i := vocab.get(s[at:] + self.end) if n - at <= self.longest else None) is not None:
                 out.append(i)
                 break
-            for to in range(min(n - 1, at + self.longest), at, -1):
+            for to in range(min(n - 1, at + reach.get(s[at : at + 3], 2)), at, -1):
                 if (i := vocab.get(s[at:to])) is not None:
                     out.append(i)
                     at = to
                     break
+            else:  # a word's last symbol alone always has its word-end form, so this is not reached
+                raise ValueError(f"no piece for {s[at:]!r}")
         return out
 
     def _pieces(self, token: int) -> list[int]:
@@ -203,21 +214,25 @@ class Codec:
             if k % 2:
                 out.append(part)
             elif part:
+                # white space is in no word, so making it one space changes nothing
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += self.words.findall(self.spaces.sub(" ", part).lower())
+                out += (self.plain if part.isascii() else self.words).findall(part.lower())
         return out
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts, and the offsets of each text's."""
-        split = [self.split(t) for t in texts]
         if len(self.slot) > REMEMBERED:
             self.forget()
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.slot))
-        if new:
-            self.learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        slots = np.fromiter((self.slot[w] for words in split for w in words), np.int64, int(counts.sum()))
+        split = [self.split(t) for t in texts]
+        places = [list(map(self.slot.get, words)) for words in split]
+        lacking = [k for k, found in enumerate(places) if None in found]
+        if lacking:
+            self.learn(list(dict.fromkeys(w for k in lacking for w in split[k] if w not in self.slot)))
+            for k in lacking:
+                places[k] = list(map(self.slot.get, split[k]))
+        counts = np.fromiter(map(len, places), np.int64, len(places))
+        slots = np.fromiter(itertools.chain.from_iterable(places), np.int64, int(counts.sum()))
         sizes = self.size[slots]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.tokens[np.repeat(self.at[slots] - total[:-1], sizes) + np.arange(total[-1])]
