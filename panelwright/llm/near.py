@@ -9,10 +9,15 @@ if they share a sketch: at similarity 0.8 all but about one pair in 80,000 do.
 Texts that share a sketch aren't all paired. A bucket's hub is its member whose sketches are
 shared most, and each member is compared with its hubs. Where a hub's members end up in different
 components, the hub's most similar member takes its place (in a group of edited copies that is the
-original, or as good as it) and is compared with the members outside its component. What is left
-to find then are pairs that share k-mers which the hub lacks: each member draws those of its
-k-mers that the hub lacks, the least first, as many as a partner of similarity 0.8 can't all miss,
-and the k-mers drawn make the next round's buckets.
+original, or as good as it) and is compared with the members outside its component. While the
+other members are in several components, pairs of them are left to find: each member draws its
+first k-mers, those that the hub lacks before the others and the least first, as many as a partner
+of similarity 0.8 can't all miss, so that the two draw a k-mer in common. The k-mers drawn make the
+next round's buckets, of which those within one component are done. Where few members are outside
+a bucket's largest component, they are compared with all others; the other buckets have hubs again.
+After ``HUB_ROUNDS`` of these, all pairs of a bucket that are in different components and whose
+lengths allow the limit are compared: nothing is left out, but that last join grows with the square
+of a bucket's size where many texts that share a drawn k-mer are unlike each other.
 
 Verification aligns the two sequences of labelled k-mers: equal k-mers whose places differ by at
 most the band (the k-mers that a pair of similarity 0.8 can have unmatched) are chained in order;
@@ -44,8 +49,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 SAMPLED = 3
-#: Rounds of hubs: the sketches' buckets, then those of k-mers that a hub lacks.
-ROUNDS = 2
+#: So many members outside a bucket's largest component are compared with all others; with more, the bucket has a hub.
+FEW = 16
+#: Rounds in which buckets have hubs; then all pairs left in a bucket are compared.
+HUB_ROUNDS = 2
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), 0x5F, *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -170,20 +177,25 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sim, pa.float64()), pa.array(ok, pa.bool_())], ["u", "v", "sim", "ok"])
 
 
-def lacking(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
-    """The least k-mers that the hub lacks: one more than a partner at the limit can miss."""
-    own = np.setdiff1d(member, hub, assume_unique=True)  # in order
-    return own[: int((1 - SIMILARITY) * len(member) + 1e-9) + 1]
+def drawn(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """The member's first k-mers, one more than a partner at the limit can miss: those that the hub lacks before the others, the least first."""
+    member = np.sort(member)
+    held = np.isin(member, hub)
+    return np.concatenate([member[~held], member[held]])[: int((1 - SIMILARITY) * len(member) + 1e-9) + 1]
 
 
-def _lacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) for the rows (u, v, a, b): k-mers of u that its hub v lacks."""
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, size) for the rows (u, v, a, b): the k-mers that u draws in the family of v, and how many k-mers it has."""
     for batch in batches:
-        for u, v, x, y in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), _kmer_lists(batch.column("a")), _kmer_lists(batch.column("b")), strict=True):
-            own = lacking(x, y)
-            if len(own):
-                keys = tg.mix(own ^ tg.mix(np.full(1, v, np.int64).view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(own), u, np.int64))], ["key", "node"])
+        families = tg.mix(batch.column("v").to_numpy().view(np.uint64))
+        keys, sizes = [], []
+        for family, x, y in zip(families, _kmer_lists(batch.column("a")), _kmer_lists(batch.column("b")), strict=True):
+            keys.append(tg.mix(drawn(x, y) ^ family))
+            sizes.append(len(x))
+        if keys:
+            many = np.array([len(x) for x in keys])
+            nodes = np.repeat(batch.column("u").to_numpy(), many)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes), pa.array(np.repeat(np.array(sizes), many))], ["key", "node", "size"])
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -235,30 +247,50 @@ def near_links(texts: DataFrame, sketched: DataFrame, stage: Staging) -> DataFra
     ``texts`` has (rid, text), ``sketched`` (rid, sketch), each node once.
     """
     links = _Links(texts, stage)
-    keys = sketched.select(F.col("rid").alias("node"), F.posexplode("sketch").alias("j", "key")).select("key", "node")
-    for k in range(ROUNDS):
-        keys = stage.put(keys, f"keys{k}")
-        buckets = stage.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"buckets{k}")
-        shared = stage.put(keys.join(buckets, "key"), f"shared{k}")
-        famed = stage.put(shared.join(shared.groupBy("node").agg(F.sum("n").alias("fame")), "node").select("key", "node", "fame"), f"famed{k}")
+    keys = stage.put(sketched.select(F.col("rid").alias("node"), F.posexplode("sketch").alias("j", "key")).select("key", "node"), "keys0")
+    buckets = stage.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets0")
+    shared = stage.put(keys.join(buckets, "key"), "shared0")
+    fame = stage.put(shared.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    few, k = None, 0
+    while True:
+        famed = stage.put(shared.join(fame, "node").select("key", "node", "fame"), f"famed{k}")
         hubs = stage.put(famed.groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("hub")), f"hubs{k}")
-        pairs = famed.select("key", "node").join(hubs, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-        family = links.compare(pairs)
+        family = famed.join(hubs, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+        family = stage.put(family, f"family{k}")
+        found = links.compare(family if few is None else family.union(few).distinct())
         stage.drop(*[f"{used}{k}" for used in ("keys", "buckets", "shared", "famed", "hubs")])
         # a family that fell apart goes to its hub's most similar member
-        placed = stage.put(_placed(family, links.labels), f"placed{k}")
+        placed = stage.put(_placed(family, links.labels).join(found.select("u", "v", "sim"), ["u", "v"], "left"), f"placed{k}")
         best = F.max_by("u", F.struct("sim", -F.col("u"))).alias("w")
         torn = placed.groupBy("v").agg(F.count("*").alias("n"), F.count_if(F.col("cu") != F.col("cv")).alias("apart"), best).where("apart > 0 and n > 1").select("v", "w")
         torn = stage.put(torn, f"torn{k}")
         moved = placed.select("u", "v").join(torn, "v").where("u != w").select("u", F.col("w").alias("v")).distinct()
         moved = stage.put(moved, f"moved{k}")
         links.compare(moved)
-        if k + 1 < ROUNDS:
-            left = _placed(moved, links.labels)
-            loose = left.groupBy("v").agg(F.count_if(F.col("cu") != F.col("cv")).alias("apart")).where("apart > 0").select("v")
-            again = stage.put(moved.join(stage.put(loose, f"loose{k}"), "v"), f"again{k}")
-            keys = _with_texts(again.select("u", "v"), links.texts).mapInArrow(_lacked, "key long, node long").distinct()
-    return links.labels
+        # what is left are pairs of two other members
+        left = stage.put(_placed(moved, links.labels), f"left{k}")
+        apart = left.groupBy("v").agg(F.min("cu").alias("least"), F.max("cu").alias("most")).where("least != most").select("v")
+        again = stage.put(left.select("u", "v").join(stage.put(apart, f"apart{k}"), "v").select("u", "v"), f"again{k}")
+        if again.isEmpty():
+            return links.labels
+        k += 1
+        drawn_keys = stage.put(_with_texts(again, links.texts).mapInArrow(_drawn, "key long, node long, size long"), f"keys{k}")
+        comps = links.labels.select("node", "comp")
+        keys = stage.put(drawn_keys.distinct().join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"parts-of-keys{k}")
+        parts = keys.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        buckets = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+        every = stage.put(keys.join(stage.put(buckets, f"buckets{k}"), "key"), f"shared{k}")
+        direct = (F.col("others") <= FEW) | F.lit(k == HUB_ROUNDS)
+        shared = every.where(~direct)
+        u = every.where(direct & (F.col("comp") != F.col("main"))).select("key", F.col("node").alias("u"), F.col("size").alias("a"), F.col("comp").alias("cu"))
+        v = every.where(direct).select("key", "main", F.col("node").alias("v"), F.col("size").alias("b"), F.col("comp").alias("cv"))
+        alike = F.least("a", "b") >= SIMILARITY * F.greatest("a", "b") - 1e-6  # else lengths alone rule out the limit
+        few = u.join(v, "key").where((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))) & alike)
+        few = stage.put(few.select("u", "v").distinct(), f"few{k}")
+        stage.drop(f"parts-of-keys{k}")
+        if k == HUB_ROUNDS:
+            links.compare(few)
+            return links.labels
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False) -> DataFrame:

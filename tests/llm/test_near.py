@@ -100,6 +100,41 @@ def test_edges(edges, nothing):
     assert near.near_classes(nothing).count() == 0 and near.drop_near_copies(nothing).count() == 0
 
 
+def linked(spark, texts):
+    """The components of texts that all share one sketch."""
+    rows = spark.createDataFrame([(i, t, [7]) for i, t in texts.items()], "rid long, text string, sketch array<long>")
+    comp = {r.node: r.comp for r in near.near_links(rows.select("rid", "text"), rows.select("rid", "sketch"), Staging(spark, "t")).collect()}
+    return {frozenset(j for j in texts if comp.get(j, j) == comp.get(i, i)) for i in texts}
+
+
+def test_excerpts_within_their_hubs_are_linked(spark):
+    """Two texts similar to each other but to no hub, all of whose k-mers the hubs have."""
+    words = [f"w{i}" for i in range(200)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:190], "other", *words[191:]]), 3: " ".join(words[:150]), 4: " ".join(words[4:150])}
+    assert linked(spark, texts) == {frozenset({1, 2}), frozenset({3, 4})}
+
+
+def test_one_bucket_of_many_families_equals_brute_force(spark):
+    rng = random.Random(11)
+    long = [f"l{i}" for i in range(500)]
+    rows = corpus(seed=4)
+    for at in range(0, 400, 40):  # excerpts of one text, two copies of each
+        rows += [(len(rows) + i, " ".join([*long[at : at + 90 - 2 * i], f"end{rng.random()}"])) for i in range(2)]
+    rows.append((len(rows), " ".join(long)))
+    want = classes(rows)
+    assert linked(spark, dict(rows)) == {frozenset(j for j in want if want[j] == c) for c in want.values()}
+
+
+def test_similar_texts_draw_a_common_kmer_whatever_the_hub():
+    rng = np.random.default_rng(2)
+    for n in (1, 4, 5, 50, 300):
+        for _ in range(20):
+            a = rng.choice(1 << 40, n, replace=False).astype(np.uint64)
+            b = rng.permutation(a)[: int(np.ceil(0.8 * n))]
+            for hub in (a, b, rng.choice(a, n // 2, replace=False), b[:0]):
+                assert np.isin(near.drawn(a, hub), near.drawn(b, hub)).any()
+
+
 def test_order_matters_to_the_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert near.aligned(a, a) and not near.aligned(a, np.concatenate([a[50:], a[:50]]))
