@@ -10,8 +10,9 @@ no count is capped. Sources without a weight of their own share the weight of ``
 of rates has at most one row per listed weight and one for the rest, and is broadcast.
 
 Defined results: a null source belongs to the rest; a null text weighs nothing but is replicated
-like the others; rows with the same id, nulls included, get equal counts. With no bytes at all,
-or weights of 0, nothing is returned. Other columns pass through unchanged; ``copy`` and
+like the others of its source; rows with the same id, nulls included, get equal counts. A source
+(the rest counting as one) without bytes has no rate: its documents, all null or empty, are left
+out and its weight goes to the others. With no bytes at all, or weights of 0, nothing is returned. Other columns pass through unchanged; ``copy`` and
 ``n_copies`` replace columns of these names where they are asked for.
 """
 

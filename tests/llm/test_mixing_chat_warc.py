@@ -50,6 +50,14 @@ def test_mixing_edges(edges, nothing):
     assert mixing.replicate(nothing, {"a": 1.0}).count() == 0 and mixing.replicate(edges, {}, rest=0.0).count() == 0
 
 
+def test_a_source_without_bytes_is_left_out(spark):
+    rows = [(1, None, "a"), (2, "", "a"), *[(i, "x" if i > 3 else None, "b") for i in range(3, 60)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r.doc_id for r in mixing.replicate(df, {"a": 1.0, "b": 1.0}, seed=1).collect())
+    alone = Counter(r.doc_id for r in mixing.replicate(df.where("source = 'b'"), {"b": 1.0}, seed=1).collect())
+    assert got and got == alone and not got.keys() & {1, 2}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
