@@ -34,6 +34,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .columns import own
 
 REMEMBERED = 250_000
 PAIRS = 1_000_000
@@ -255,15 +258,16 @@ def codec_of(text: str) -> Codec:
     return _codecs[key]
 
 
-def _stretches(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _stretches(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Rows that are encoded together: about CHUNK characters, or one longer text."""
     a = size = 0
-    for b, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
+    for b, n in enumerate(sizes):
+        if size and size + n > CHUNK:
             yield a, b
             a, size = b, 0
-        size += len(t) + 1
-    if a < len(texts):
-        yield a, len(texts)
+        size += n + 1
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,12 +278,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _stretches(texts):
-                ids, offsets = codec.encode_batch(texts[a:b])
+            texts = batch.column("text")
+            for a, b in _stretches(pc.utf8_length(texts).to_pylist()):
+                ids, offsets = codec.encode_batch(texts.slice(a, b - a).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 decoded = codec.decode_batch(ids, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, decoded], ["doc_id", "ids", "decoded"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(encoded, "doc_id long, ids array<int>, decoded string")
+    rows = docs.select(own(docs, id_col).alias("doc_id"), F.coalesce(own(docs, text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(encoded, T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))

@@ -7,10 +7,10 @@ a bitmap of fixed size) only tells documents that are surely alone from those th
 rounds, and a false hit costs one round.
 
 Slices widen by a constant factor, so the number of rounds grows with the logarithm of the
-longest text up to ``widest`` and linearly beyond. A round shuffles digits, sums them per group
+longest text up to ``widest`` (16 MiB, a tenth of what a row can hold) and linearly beyond. A round shuffles digits, sums them per group
 before the shuffle, and joins the sums back with a join that Spark may split where a group is hot.
 
-Defined results: a null text counts as empty. Only A-Z are folded. A null id counts as the
+Defined results: ids may be of any type with an order. A null text counts as empty. Only A-Z are folded. A null id counts as the
 smallest. Of rows with the same id and equal texts, one (any) stays. An empty table gives an
 empty table. Columns other than id and text are not read by ``radix_groups`` and pass through
 ``drop_exact_copies`` unchanged, whatever they are called.
@@ -23,6 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import own, whole_row
 from .staging import Staging
 
 #: Bits of the bitmap that clears surely single documents: 4 MB at most, whatever the input.
@@ -52,14 +53,15 @@ def _marked(rows: DataFrame, head: int, stage: Staging) -> DataFrame:
 
 
 def _rounds(members: DataFrame, stage: Staging, head: int, factor: int, widest: int) -> DataFrame:
-    """(rid, keep, n) for each of ``members`` (rid, doc_id, n_bytes, bytes)."""
+    """(rid, keep_id, keep_rid, n) for each of ``members`` (rid, doc_id, n_bytes, bytes)."""
     here = members.select("rid", "doc_id", F.col("n_bytes").cast("long").alias("cls"), F.col("bytes").alias("rest"))
     settled: list[DataFrame] = []
     width, k = head, 0
     while True:
         digit = F.expr(f"substring(rest, 1, {width})")
         keyed = here.withColumn("digit", digit)
-        sums = keyed.groupBy("cls", "digit").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "rid")).alias("keep"))
+        # numbers only, so that the sums are hashed and not sorted; without any id the largest row number stays
+        sums = keyed.groupBy("cls", "digit").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("rid", "doc_id"), F.max("rid")).alias("keep_rid"))
         sums = stage.put(sums, f"sums{k}")
         done = (F.col("n") == 1) | (F.length("rest") <= width)
         split = keyed.join(sums, ["cls", "digit"]).select(
@@ -67,16 +69,17 @@ def _rounds(members: DataFrame, stage: Staging, head: int, factor: int, widest:
             "doc_id",
             F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
             "n",
-            "keep",
+            "keep_id",
+            "keep_rid",
             done.alias("done"),
         )
         split = stage.put(split, f"round{k}", by=["done"])
-        settled.append(split.where("done").select("rid", "keep", "n"))
+        settled.append(split.where("done").select("rid", "keep_id", "keep_rid", "n"))
         onward = split.where("not done")
         stage.drop(f"sums{k}")
         if onward.isEmpty():
             break
-        here = onward.select("rid", "doc_id", F.col("keep.rid").alias("cls"), "rest")
+        here = onward.select("rid", "doc_id", F.col("keep_rid").alias("cls"), "rest")
         width, k = min(width * factor, widest), k + 1
     out = settled[0]
     for more in settled[1:]:
@@ -92,15 +95,15 @@ def radix_groups(
     carry: bool = False,
     head: int = 64,
     factor: int = 8,
-    widest: int = 1 << 16,
+    widest: int = 1 << 24,
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row; with ``carry`` also ``row``, the whole row."""
     stage = Staging(docs.sparkSession, "radix")
-    body = F.encode(folded(docs[text_col]), "UTF-8")
+    body = F.encode(folded(own(docs, text_col)), "UTF-8")
     rows = docs.select(
-        docs[id_col].alias("doc_id"),
+        own(docs, id_col).alias("doc_id"),
         body.alias("bytes"),
-        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
+        *([whole_row(docs).alias("row")] if carry else []),
     ).withColumn("n_bytes", F.length("bytes"))
     marked = _marked(rows, head, stage)
     sha = F.sha2("bytes", 256).alias("text_sha256")
@@ -114,7 +117,7 @@ def radix_groups(
     grouped = (
         members.select("rid", "doc_id", "text_sha256", *also)
         .join(found, "rid")
-        .select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("keep.rid") == F.col("rid")).alias("kept"), "text_sha256", *also)
+        .select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("keep_rid") == F.col("rid")).alias("kept"), "text_sha256", *also)
     )
     return single.unionByName(grouped)
 

@@ -26,7 +26,7 @@ linked texts are one class.
 
 Defined results: texts with equal words are one class whatever their number; texts without words
 (null counts as empty) are one class where they are equal. Texts with fewer than five words have
-one k-mer. Null ids sort first; of repeated rows one is kept. An empty table gives an empty table.
+one k-mer. Ids may be of any type with an order. Null ids sort first; of repeated rows one is kept. An empty table gives an empty table.
 Other columns are not read by ``near_classes`` and pass through ``drop_near_copies``.
 """
 
@@ -40,8 +40,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textgrid as tg
+from .columns import extended, own, whole_row
 from .components import component_links
 from .staging import Staging
 
@@ -296,9 +298,9 @@ def near_links(texts: DataFrame, sketched: DataFrame, stage: Staging) -> DataFra
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False) -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size and kept (one row a class) for each row; with ``carry`` also ``row``."""
     stage = Staging(docs.sparkSession, "near")
-    others = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("others")] if carry else []
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *others)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", ka long, kb long, sketch array<long>"
+    others = [whole_row(docs, text_col).alias("others")] if carry else []
+    rows = docs.select(own(docs, id_col).alias("doc_id"), own(docs, text_col).cast("string").alias("text"), *others)
+    schema = extended(rows.schema, ka=T.LongType(), kb=T.LongType(), sketch=T.ArrayType(T.LongType()))
     every = stage.put(rows.mapInArrow(_sketched, schema).withColumn("rid", F.monotonically_increasing_id()), "rows")
     node = F.min_by("rid", F.struct("doc_id", "rid")).alias("node")
     nodes = stage.put(every.groupBy("ka", "kb").agg(node, F.min(F.struct("doc_id", "rid")).alias("least"), F.count("*").alias("n")), "nodes")

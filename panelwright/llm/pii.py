@@ -38,6 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import let, own, starts
 from .staging import Staging
 
 KINDS = ("email", "ip", "card", "phone")
@@ -91,7 +92,6 @@ PRIOR, MOST = 0.7, 0.8
 #: An against vote is at least so many times likelier for a false span than for a true one.
 LEAST = 3.0
 ROUNDS, EPOCHS = 40, 400
-BLOCK = 256
 
 _SPAN = "struct<s:int,e:int,v:string,b:string,a:string>"
 
@@ -100,33 +100,19 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL for ``body`` with a name for a value that it uses more than once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def _found(text: str, pattern: str) -> str:
-    """SQL for the matches in order: where each starts and ends in code points, itself, and what stands before and after.
-
-    Positions are summed within blocks of matches, then over the blocks.
-    """
+    """SQL for the matches in order: where each starts and ends in code points, itself, and what stands before and after."""
     p = _quoted(pattern)
-    cut = f"""transform(m, (v, i) -> named_struct('g', length(p[i]), 'n', length(v), 'v', v, 'b', right(p[i], {BEFORE}), 'a', left(p[i + 1], {AFTER})))"""
-    placed = f"""aggregate(block, named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)), (t, x) -> named_struct('at', t.at + x.g + x.n,
-        'out', concat(t.out, array(named_struct('s', t.at + x.g, 'e', t.at + x.g + x.n, 'v', x.v, 'b', x.b, 'a', x.a)))))"""
-    bases = "aggregate(local, named_struct('at', 0, 'out', cast(array() as array<int>)), (t, x) -> named_struct('at', t.at + x.at, 'out', concat(t.out, array(t.at))), t -> t.out)"
-    moved = "flatten(zip_with(local, bases, (x, base) -> transform(x.out, y -> named_struct('s', y.s + base, 'e', y.e + base, 'v', y.v, 'b', y.b, 'a', y.a))))"
-    blocks = f"transform(sequence(0, (size(z) - 1) div {BLOCK}), k -> slice(z, cast(k * {BLOCK} + 1 as int), {BLOCK}))"
-    summed = _let(f"transform({blocks}, block -> {placed})", "local", _let(bases, "bases", moved))
-    whole = f"if(size(z) = 0, cast(array() as array<{_SPAN}>), {summed})"
-    return _let(f"regexp_extract_all({text}, {p}, 0)", "m", _let(f"split({text}, {p}, -1)", "p", _let(cut, "z", whole)))
+    cut = f"""transform(m, (v, i) -> named_struct('s', z[i] + length(p[i]), 'e', z[i] + length(p[i]) + length(v), 'v', v, 'b', right(p[i], {BEFORE}), 'a', left(p[i + 1], {AFTER})))"""
+    placed = let(starts("transform(m, (v, i) -> length(p[i]) + length(v))"), "z", cut)
+    return let(f"regexp_extract_all({text}, {p}, 0)", "m", let(f"split({text}, {p}, -1)", "p", placed))
 
 
 def _masked(text: str, pattern: str, kind: str) -> str:
     """SQL for the text with the valid matches replaced by as many code points of U+0001."""
     p = _quoted(pattern)
     body = f"array_join(transform(p, (x, i) -> if(i >= size(m), x, concat(x, if({_valid(kind, 'm[i]')}, repeat('\\u0001', length(m[i])), m[i])))), '')"
-    return _let(f"regexp_extract_all({text}, {p}, 0)", "m", _let(f"split({text}, {p}, -1)", "p", body))
+    return let(f"regexp_extract_all({text}, {p}, 0)", "m", let(f"split({text}, {p}, -1)", "p", body))
 
 
 def _digits(v: str) -> str:
@@ -189,7 +175,7 @@ def _votes(kind: str) -> str:
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, base, more and lost: arrays of (s, k, e, kind, votes); ``lost`` failed their checks."""
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(own(docs, id_col).alias("doc_id"), F.coalesce(own(docs, text_col).cast("string"), F.lit("")).alias("text"))
     none = f"cast(array() as array<{_SPAN}>)"
     sought = lambda of, mark, pattern: F.expr(f"if({of} rlike {_quoted(mark)}, {_found(of, pattern)}, {none})")
     rows = rows.withColumns({f"raw_{kind}": sought("text", MARK[kind], BASE[kind]) for kind in KINDS})

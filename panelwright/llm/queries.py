@@ -24,7 +24,7 @@ def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(chat.swapped_replies(_table(spark, sf_dir, "conversations")))
+    return chat.format_pairs(chat.swapped_replies(_table(spark, sf_dir, "conversations")))
 
 
 #: All sources of the corpus at equal shares; sources that turn up later share one more.
@@ -94,20 +94,20 @@ ORACLES: dict[str, str] = {
         with said as (select conv_id, turn, coalesce(text, '') as text from conversations where role = 'assistant' and conv_id is not null and turn is not null),
         tops as (select conv_id, max(turn) as top from said group by conv_id),
         replies as (select s.conv_id, t.top, min(s.text) as reply from said s join tops t on s.conv_id = t.conv_id and s.turn = t.top group by all),
-        ends as (select r.conv_id, r.top, r.reply, o.reply as other from replies r join replies o on xor(r.conv_id, 1) = o.conv_id),
-        clean as (
-            select c.conv_id as pair_id, c.turn, replace(coalesce(c.role, 'unknown'), '<|im_', '<| im_') as role, replace(coalesce(c.text, ''), '<|im_', '<| im_') as text
-            from conversations c join ends e on c.conv_id = e.conv_id and c.turn < e.top),
+        ends as (select r.conv_id, r.top, r.reply, o.reply as other from replies r left join replies o on xor(r.conv_id, 1) = o.conv_id),
+        told as (
+            select c.conv_id as pair_id, c.turn, coalesce(c.role, 'unknown') as role, coalesce(c.text, '') as text from conversations c join ends e on c.conv_id = e.conv_id and c.turn < e.top),
         sides as (
-            select pair_id, 'chosen' as side, turn, role, text from clean union all select pair_id, 'rejected', turn, role, text from clean
-            union all select conv_id, 'chosen', top, 'assistant', replace(reply, '<|im_', '<| im_') from ends
-            union all select conv_id, 'rejected', top, 'assistant', replace(other, '<|im_', '<| im_') from ends),
+            select pair_id, 'chosen' as side, turn, role, text from told union all select pair_id, 'rejected', turn, role, text from told
+            union all select conv_id, 'chosen', top, 'assistant', reply from ends
+            union all select conv_id, 'rejected', top, 'assistant', other from ends where other is not null),
         placed as (select *, row_number() over (partition by pair_id, side order by turn, role, text) as k from sides),
         matched as (select c.pair_id, c.k, c.role = r.role and c.text = r.text as same from placed c join placed r on c.pair_id = r.pair_id and c.k = r.k where c.side = 'chosen' and r.side = 'rejected'),
-        cut as (select pair_id, coalesce(min(k) filter (not same) - 1, max(k)) as n_common from matched group by pair_id),
+        cut as (select e.conv_id as pair_id, coalesce(min(k) filter (not same) - 1, max(k), 0) as n_common from ends e left join matched m on e.conv_id = m.pair_id group by e.conv_id),
+        escaped as (select * replace (replace(role, '<|im_', '<| im_') as role, replace(text, '<|im_', '<| im_') as text) from placed),
         drawn as (
             select p.*, c.n_common, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as shown, length(role) as role_size, length(text) as text_size
-            from placed p join cut c on p.pair_id = c.pair_id),
+            from escaped p join cut c on p.pair_id = c.pair_id),
         spots as (
             select *, coalesce(sum(length(shown)) over (partition by pair_id, side order by k rows between unbounded preceding and 1 preceding), 0) as spot from drawn where k > n_common),
         spans as (

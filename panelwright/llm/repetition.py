@@ -23,15 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textgrid as tg
+from .columns import own
 
 #: Highest share of a text's word characters inside duplicated n-grams, by n.
 COVERAGE_LIMITS = {5: 0.40, 8: 0.35, 10: 0.30}
 #: Highest share of word characters in duplicated lines.
 LINE_LIMIT = 0.30
 MIN_WORDS = 20
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_coverage double, coverage_5 double, coverage_8 double, coverage_10 double"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_coverage double, coverage_5 double, coverage_8 double, coverage_10 double"
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -102,7 +104,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    names = ["doc_id", *[c.split()[0] for c in SCHEMA.split(", ")]]
     for batch in batches:
         for a, b, data, offs in tg.chunks(batch.column("text")):
             found = measure(data, offs)
@@ -112,5 +114,6 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts, coverages and verdicts of each row."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_measured, SCHEMA)
+    rows = docs.select(own(docs, id_col).alias("doc_id"), F.coalesce(own(docs, text_col).cast("string"), F.lit("")).alias("text"))
+    measured = T.StructType.fromDDL(SCHEMA)
+    return rows.mapInArrow(_measured, T.StructType([rows.schema["doc_id"], *measured.fields]))

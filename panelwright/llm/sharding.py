@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import own
 from .staging import Staging
 
 #: Hash digits of 4 bits in a draw: 52 bits, as many as a double keeps exactly.
@@ -94,13 +95,13 @@ def tree_shard(key: Column, shards: list[Shard]) -> Column:
 def shard_rows(docs: DataFrame, shards: list[Shard], grown: list[Shard] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null without ``grown``) for each row."""
     stage = Staging(docs.sparkSession, "shards")
-    bytes_ = F.encode(F.coalesce(docs[text_col].cast("string"), F.lit("")), "UTF-8")
+    bytes_ = F.encode(F.coalesce(own(docs, text_col).cast("string"), F.lit("")), "UTF-8")
     narrow = docs.select(
-        docs[id_col].alias("doc_id"),
+        own(docs, id_col).alias("doc_id"),
         (F.length(bytes_) + 1).cast("long").alias("size"),
         F.crc32(bytes_).cast("long").alias("text_crc32"),
-        tree_shard(docs[id_col], shards).alias("shard"),
-        (tree_shard(docs[id_col], grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+        tree_shard(own(docs, id_col), shards).alias("shard"),
+        (tree_shard(own(docs, id_col), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
     narrow = stage.put(narrow, "narrow")  # the range shuffle below samples it; the texts are read once
     order = ["shard", F.col("doc_id").asc_nulls_first(), "text_crc32"]

@@ -20,16 +20,28 @@ def shared_root(spark: SparkSession) -> str:
     return own
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority that Spark reads it by, for readers with other defaults."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 class Staging:
     """Parquet tables of one run of one operator, below the shared folder.
 
     ``put`` writes a frame and returns it read back; ``drop`` removes a table that nothing
-    reads any more. What a returned lazy frame still reads has to stay.
+    reads any more. What a returned lazy frame still reads has to stay; it goes when the
+    driver's JVM ends in good order, which is as long as the frame can be read.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.base = qualified(spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(place)
+        system.deleteOnExit(place)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
