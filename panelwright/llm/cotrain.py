@@ -1,21 +1,30 @@
-"""Quality classification by co-training of a text view and a page-metadata view.
-
-The text view sees shares and ratios of a text's whole bytes, words and lines; the metadata view
-sees the source, the language and the length (hashed one-hots). Both are logistic regressions. In
-each round either view hands its most confident pseudo-labels on a pool of unlabelled documents to
-the other view's training rows; both are then fitted again. Each view is calibrated on labelled
-rows it was not fitted on (Platt scaling), and the calibrated log-odds are added (the prior counts
-once) to score all documents.
-
-What is fitted is bounded: at most ``Settings.labelled`` labelled rows and a pool of
-``Settings.pool`` unlabelled ones, both drawn by a hash of the id, reach the driver as feature
-rows. Scoring runs over all documents and whole texts.
+"""Quality classification by co-training of a text-content view and a page-metadata view.
+
+The text view sees words: hashed words, word pairs and character trigrams, each with a log-odds of
+occurring in good texts over bad ones (counted once a training text, smoothed), and averaged over
+all of a text; with these, shares of character classes and of repeated words and lines. The
+metadata view sees the source, the language and the length (hashed one-hots). No feature is in
+both. Both are logistic regressions; a training text's own counts are left out of the log-odds that
+it is fitted with.
+
+In each round either view scores all unlabelled documents and hands the most confident ones,
+different texts each, with its labels to the other view's training rows; both are then fitted
+again. Each view is calibrated on labelled rows it was not fitted on (Platt scaling), and the
+calibrated log-odds are added (the prior counts once) to score all documents.
+
+What is fitted is bounded: at most ``Settings.labelled`` labelled documents, drawn by a hash of
+their ids, and the ``Settings.handed`` most confident documents of each view, label and round reach
+the driver as counts of hashed features. They are chosen from all documents: a round is one pass
+over the table in which a task keeps its own most confident ones. Scoring runs over all documents
+and whole texts.
 
 Defined results: null text counts as empty; null source, language or length are values of their
-own. Labels without a document, with null or of another value than 0 and 1 are left out. Without
-labels of both kinds all documents get a null score and are kept. Repeated rows get equal scores.
-Other columns pass through ``with_scores`` unchanged; its own ``quality_score`` and
-``quality_kept`` replace columns of these names.
+own. Labels without a document, with null or of another value than 0 and 1, and documents with
+both labels are left out. Of rows with one id, the one with the least hash of its values is
+fitted; rows without an id are scored, but never handed over. Without labels of both kinds all
+documents get a null score and are kept. Repeated rows get equal scores. Ids may be of any type
+that labels share with documents. Other columns pass through ``with_scores`` unchanged, whatever
+they are called; its own ``quality_score`` and ``quality_kept`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -26,24 +35,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textgrid as tg
+from .columns import extended, own
+from .staging import Staging
 
 
 @dataclass(frozen=True)
 class Settings:
     labelled: int = 4000
-    pool: int = 6000
-    rounds: int = 3
-    #: Pseudo-labels of each kind that a view hands over in a round, and how sure it has to be.
+    rounds: int = 2
+    #: Documents of each label that a view hands over in a round, and how sure it has to be.
     handed: int = 200
     sure: float = 0.95
     #: Documents whose combined probability of being good is lower are rejected.
     threshold: float = 0.2
     ridge: float = 1.0
+    #: Texts that each hashed feature is held to have occurred in besides those seen, shared out by how common it is.
+    smooth: float = 1.0
+
 
+#: Buckets of hashed words, word pairs and character trigrams.
+SIZES = (4096, 4096, 2048)
+_FROM = np.concatenate([[0], np.cumsum(SIZES)])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -58,31 +79,37 @@ _CLASSES = {
     "comma": b",;:",
 }
 _TABLES = {name: np.isin(np.arange(256), list(members)) for name, members in _CLASSES.items()}
-TEXT_FEATURES = len(_CLASSES) + 9
+SHARES = len(_CLASSES) + 7
 SOURCES, LANGS, LENGTHS = 64, 16, 24
 META_FEATURES = SOURCES + LANGS + LENGTHS
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
-    return total[first[1:]] - total[first[:-1]]
+    """Sums of stretches of ``values``; each depends on nothing but its own values."""
+    if values.dtype.kind in "bui":
+        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return (total[first[1:]] - total[first[:-1]]).astype(float)
+    out, held = np.zeros(len(first) - 1), np.diff(first) > 0
+    if held.any():
+        out[held] = np.add.reduceat(values[: first[-1]], first[:-1][held])
+    return out
 
 
-def text_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A row for each text of a chunk."""
+def shares(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A row for each text of a chunk: what share of it is of a class, or said before."""
     mask = ~_BLANK[data]
-    starts, ends = tg.runs(mask, offs)
-    first = tg.owners(starts, offs)
+    begin, ends = tg.runs(mask, offs)
+    first = tg.owners(begin, offs)
     text = tg.text_of(first)
     n = np.maximum(np.diff(first), 1)
     body = np.maximum(_sums(mask, offs), 1)
     out = [_sums(table[data], offs) / body for table in _TABLES.values()]
-    words = tg.salted(tg.run_hashes(data, mask, starts, ends), text)
+    words = tg.salted(tg.run_hashes(data, mask, begin, ends), text)
     again = tg.occurrence(words)
     same = np.zeros(len(words), bool)
     same[1:] = words[1:] == words[:-1]
     symbol = _TABLES["symbol"] | _TABLES["bang"]
-    lens = ends - starts
+    lens = ends - begin
     lines, line_ends = tg.runs(data != 0x0A, offs)
     line_first = tg.owners(lines, offs)
     line_keys = tg.salted(tg.run_hashes(data, None, lines, line_ends), tg.text_of(line_first))
@@ -93,13 +120,43 @@ def text_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         _sums(lens, first) / n / 10,
         _sums(lens > 20, first) / n,
         _sums(lens == 1, first) / n,
-        np.log1p(np.diff(first)) / 10,
         _sums(tg.occurrence(line_keys) > 0, line_first) / np.maximum(np.diff(line_first), 1),
-        np.log1p(np.diff(line_first)) / 10,
     ]
     return np.stack(out, axis=1)
 
 
+def grams(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words, word pairs and character trigrams: the bucket of each, and where each text's begin."""
+    low = _LOWER[data]
+    mask = _LETTER[low]
+    begin, ends = tg.runs(mask, offs)
+    first = tg.owners(begin, offs)
+    words = tg.run_hashes(low, mask, begin, ends)
+    pairs, at = tg.windows(words, first, 2)
+    out = [((words % np.uint64(SIZES[0])).astype(np.int64), first), ((pairs % np.uint64(SIZES[1])).astype(np.int64) + _FROM[1], np.searchsorted(at, first))]
+    wide = low.astype(np.uint32)
+    code = (wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)) if len(wide) > 2 else np.zeros(0, np.uint32)
+    inside = np.ones(len(code), bool)
+    for k in (1, 2):  # a trigram must not begin in the last two bytes of a text
+        cut = offs[1:] - k
+        inside[cut[(cut >= offs[:-1]) & (cut < len(code))]] = False
+    spots = np.flatnonzero(inside)
+    out.append((((code[spots] >> np.uint32(16)) % np.uint32(SIZES[2])).astype(np.int64) + _FROM[2], np.searchsorted(spots, offs)))
+    return out
+
+
+def _means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return _sums(values, first) / np.maximum(np.diff(first), 1)
+
+
+def sparse(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of each text in order, how often each occurs, and where each text's begin."""
+    n = len(offs) - 1
+    keys = np.concatenate([tg.text_of(first) * _FROM[-1] + bucket for bucket, first in grams(data, offs)])
+    keys, counts = np.unique(keys, return_counts=True)
+    return keys % _FROM[-1], counts, np.searchsorted(keys, np.arange(n + 1) * _FROM[-1])
+
+
 def meta_features(source: list, lang: list, length: list) -> np.ndarray:
     """One-hots of hashed source and language and of the length's half octave."""
     out = np.zeros((len(source), META_FEATURES))
@@ -158,105 +215,231 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+@dataclass
+class Sample:
+    """Documents to fit with: shares, hashed features as (buckets, counts, where each document's begin), and metadata."""
+
+    shares: np.ndarray
+    buckets: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
+    meta: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.shares)
+
+    def take(self, rows: np.ndarray) -> Sample:
+        rows = np.flatnonzero(rows) if rows.dtype == bool else rows
+        sizes = np.diff(self.first)[rows]
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.first[:-1][rows] - begin[:-1], sizes) + np.arange(begin[-1])
+        return Sample(self.shares[rows], self.buckets[at], self.counts[at], begin, self.meta[rows])
+
+    def plus(self, other: Sample) -> Sample:
+        return Sample(
+            np.concatenate([self.shares, other.shares]),
+            np.concatenate([self.buckets, other.buckets]),
+            np.concatenate([self.counts, other.counts]),
+            np.concatenate([self.first, other.first[1:] + self.first[-1]]),
+            np.concatenate([self.meta, other.meta]),
+        )
+
+
+def _averaged(odds: np.ndarray, sample: Sample) -> np.ndarray:
+    """Each document's mean log-odds over its words, pairs and trigrams, given the log-odds of each of its features."""
+    out = np.zeros((len(sample), len(SIZES)))
+    kind = np.searchsorted(_FROM, sample.buckets, side="right") - 1
+    for k in range(len(SIZES)):
+        held = np.where(kind == k, sample.counts, 0)
+        out[:, k] = _sums(held * odds, sample.first) / np.maximum(_sums(held, sample.first), 1)
+    return out
+
+
+@dataclass
+class TextView:
+    """Log-odds of hashed features, and a regression on their means and on shares."""
+
+    odds: np.ndarray
+    model: Logit
+
+    @staticmethod
+    def fit(sample: Sample, y: np.ndarray, settings: Settings) -> TextView:
+        of = np.repeat(y, np.diff(sample.first))
+        seen = np.stack([np.bincount(sample.buckets, weights=of == label, minlength=_FROM[-1]) for label in (0, 1)])
+        common = (seen.sum(0) + 1) / (seen.sum(0) + 1).mean()
+        extra = settings.smooth * common
+        totals = np.array([(y == 0).sum(), (y == 1).sum()], float) + settings.smooth
+        rate = lambda count, total: np.log(count / total)
+        odds = rate(seen[1] + extra, totals[1]) - rate(seen[0] + extra, totals[0])
+        b = sample.buckets  # the document itself doesn't count
+        without = rate(seen[1][b] - (of == 1) + extra[b], totals[1] - (of == 1)) - rate(seen[0][b] - (of == 0) + extra[b], totals[0] - (of == 0))
+        return TextView(odds, Logit.fit(np.column_stack([_averaged(without, sample), sample.shares]), y, settings.ridge))
+
+    def rows(self, sample: Sample) -> np.ndarray:
+        return np.column_stack([_averaged(self.odds[sample.buckets], sample), sample.shares])
+
+    def rows_of(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The same for the whole texts of a chunk, without counting."""
+        return np.column_stack([*[_means(self.odds[bucket], first) for bucket, first in grams(data, offs)], shares(data, offs)])
+
+
 @dataclass
 class CoTrained:
-    text: Logit
+    text: TextView
     meta: Logit
     prior: float
 
-    def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    def logits(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log-odds of both views for rows (text, source, lang, n_chars)."""
+        found = [self.text.model.logit(self.text.rows_of(data, offs)) for _, _, data, offs in tg.chunks(rows.column("text"))]
+        return np.concatenate(found) if found else np.zeros(0), self.meta.logit(_metadata(rows))
+
+    def combined(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """The probability of being good."""
-        return _sigmoid(self.text.logit(text) + self.meta.logit(meta) - self.prior)
-
-
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, settings: Settings) -> CoTrained:
-    """Fits both views; every fourth labelled row is held out to calibrate them."""
-    held = np.arange(len(y)) % 4 == 3
-    if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
-        held = np.zeros(len(y), bool)
-    views = [text[~held], meta[~held]]
-    held_views = [text[held], meta[held]] if held.any() else views
-    held_y = y[held] if held.any() else y
-    extra_x: list[list[np.ndarray]] = [[], []]
-    extra_y: list[list[np.ndarray]] = [[], []]
-    pools = [pool_text, pool_meta]
-    free = [np.ones(len(pool_text), bool), np.ones(len(pool_text), bool)]  # not yet handed to that view
-
-    def fitted(v: int) -> Logit:
-        model = Logit.fit(np.concatenate([views[v], *extra_x[v]]), np.concatenate([y[~held], *extra_y[v]]), settings.ridge)
-        model.calibrate(held_views[v], held_y)
-        return model
-
-    models = [fitted(0), fitted(1)]
-    for _ in range(settings.rounds):
-        for giver, taker in ((0, 1), (1, 0)):
-            if not len(pools[0]):
-                continue
-            p = _sigmoid(models[giver].logit(pools[giver]))
-            for label, sureness in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-sureness, kind="stable")
-                picks = order[(sureness[order] >= settings.sure) & free[taker][order]][: settings.handed]
-                free[taker][picks] = False
-                extra_x[taker].append(pools[taker][picks])
-                extra_y[taker].append(np.full(len(picks), label))
-        models = [fitted(0), fitted(1)]
-    return CoTrained(models[0], models[1], float(np.log(held_y.mean() / (1 - held_y.mean()))))
-
-
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    found = [text_features(data, offs) for _, _, data, offs in tg.chunks(batch.column("text"))]
-    text = np.concatenate(found) if found else np.zeros((0, TEXT_FEATURES))
-    return text, meta_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-
-
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sigmoid(text + meta - self.prior)
+
+
+class Trainer:
+    """Both views' training rows: the labelled ones, of which every fourth is held out to calibrate, and those handed over."""
+
+    def __init__(self, sample: Sample, y: np.ndarray, settings: Settings):
+        held = np.arange(len(y)) % 4 == 3
+        if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
+            held = np.zeros(len(y), bool)
+        self.settings = settings
+        self.held, self.held_y = (sample.take(held), y[held]) if held.any() else (sample, y)
+        self.rows = [(sample.take(~held), y[~held])] * 2  # of the text view, of the metadata view
+
+    def hand(self, taker: int, sample: Sample, y: np.ndarray) -> None:
+        rows, labels = self.rows[taker]
+        self.rows[taker] = (rows.plus(sample), np.concatenate([labels, y]))
+
+    def fit(self) -> CoTrained:
+        (rows, y), (meta_rows, meta_y) = self.rows
+        text = TextView.fit(rows, y, self.settings)
+        text.model.calibrate(text.rows(self.held), self.held_y)
+        meta = Logit.fit(meta_rows.meta, meta_y, self.settings.ridge)
+        meta.calibrate(self.held.meta, self.held_y)
+        return CoTrained(text, meta, float(np.log(self.held_y.mean() / (1 - self.held_y.mean()))))
+
+
+def _metadata(rows: pa.RecordBatch) -> np.ndarray:
+    return meta_features(*(rows.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+
+
+def _fields(df: DataFrame, text_col: str) -> list[Column]:
+    return [own(df, text_col).cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, y, shares, buckets, counts, meta) of rows (doc_id, y, text, source, lang, n_chars)."""
+    listed = lambda values, first, kind: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
     for batch in batches:
-        both = np.column_stack(_views(batch))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1) * both.shape[1], pa.int32()), pa.array(both.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), lists], ["doc_id", "y", "x"])
+        for a, b, data, offs in tg.chunks(batch.column("text")):
+            part = batch.slice(a, b - a)
+            buckets, counts, first = sparse(data, offs)
+            dense, meta = shares(data, offs), _metadata(part)
+            rows = np.arange(b - a + 1)
+            columns = [listed(dense.ravel(), rows * SHARES, pa.float64()), listed(buckets, first, pa.int16()), listed(counts, first, pa.int32()), listed(np.flatnonzero(meta) % META_FEATURES, rows * 3, pa.int16())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *columns], ["doc_id", "y", "shares", "buckets", "counts", "meta"])
+
+
+def _sampled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> tuple[Sample, np.ndarray] | None:
+    """The documents of ``wanted`` (doc_id, y; each id once, a bounded number) as a sample in order of a hash of the id, and their labels."""
+    rows = docs.select(own(docs, id_col).alias("doc_id"), *_fields(docs, text_col)).join(F.broadcast(wanted), "doc_id")
+    values = F.struct("text", "source", "lang", "n_chars")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(values).alias("h"), values.alias("v"))).alias("x")).select("doc_id", "y", "x.v.*")
+    schema = T.StructType([one.schema["doc_id"], one.schema["y"], *T.StructType.fromDDL("shares array<double>, buckets array<short>, counts array<int>, meta array<short>").fields])
+    got = one.mapInArrow(_counted, schema).toArrow().combine_chunks()
+    if not got.num_rows:
+        return None
+    column = lambda name: got[name].combine_chunks() if isinstance(got[name], pa.ChunkedArray) else got[name]
+    ids = column("doc_id").to_pylist()
+    order = np.array(sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i]))))
+    buckets, meta = column("buckets"), np.zeros((len(ids), META_FEATURES))
+    first = np.concatenate([[0], np.cumsum(buckets.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    meta[np.repeat(np.arange(len(ids)), 3), column("meta").flatten().to_numpy().astype(np.int64)] = 1
+    sample = Sample(column("shares").flatten().to_numpy().reshape(len(ids), SHARES), buckets.flatten().to_numpy().astype(np.int64), column("counts").flatten().to_numpy().astype(np.int64), first, meta)
+    return sample.take(order), column("y").to_numpy(zero_copy_only=False)[order]
+
+
+def _confident(docs: DataFrame, model: CoTrained, settings: Settings, id_col: str, text_col: str, used: DataFrame) -> DataFrame:
+    """(giver, label, key, doc_id, logit): each task's most confident documents, without those of ``used``."""
+    rows = docs.select(own(docs, id_col).alias("doc_id"), *_fields(docs, text_col)).where("doc_id is not null").join(F.broadcast(used), "doc_id", "left_anti")
+    rows = rows.withColumn("key", F.xxhash64("text", "source", "lang", "n_chars"))
+    least = float(np.log(settings.sure / (1 - settings.sure)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], pa.Table] = {}
+        for batch in batches:
+            for giver, logit in enumerate(model.logits(batch)):
+                for label, sign in ((1, 1.0), (0, -1.0)):
+                    sure = np.flatnonzero(sign * logit >= least)
+                    fresh = pa.table({"logit": pa.array(sign * logit[sure]), "key": batch.column("key").take(pa.array(sure)), "doc_id": batch.column("doc_id").take(pa.array(sure))})
+                    table = pa.concat_tables([held[giver, label], fresh]) if (giver, label) in held else fresh
+                    table = table.sort_by([("logit", "descending"), ("key", "ascending"), ("doc_id", "ascending")])
+                    keys = table["key"].to_numpy()
+                    _, places = np.unique(keys, return_index=True)  # equal documents count once
+                    held[giver, label] = table.take(pa.array(np.sort(places)[: settings.handed]))
+        for (giver, label), table in held.items():
+            for batch in table.combine_chunks().to_batches():
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([giver] * n, pa.int32()), pa.array([label] * n, pa.int32()), batch.column("key"), batch.column("doc_id"), batch.column("logit")], ["giver", "label", "key", "doc_id", "logit"])
+
+    id_field = rows.schema["doc_id"]
+    schema = T.StructType([T.StructField("giver", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("key", T.LongType()), id_field, T.StructField("logit", T.DoubleType())])
+    return rows.mapInArrow(best, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> CoTrained | None:
     """The classifier, or none where the labels aren't of both kinds."""
+    spark, stage = docs.sparkSession, Staging(docs.sparkSession, "cotrain")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = docs.select(docs[id_col].cast("long").alias("doc_id")).where("doc_id is not null")
-    chosen = known.join(ids, "doc_id", "left_semi").orderBy(*order).limit(settings.labelled)
-    unlabelled = ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(settings.pool).select("doc_id", F.lit(None).cast("double").alias("y"))
-    sample = chosen.union(unlabelled).dropDuplicates(["doc_id"])  # bounded by the two limits
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    featured = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars").mapInArrow(_featured, "doc_id long, y double, x array<double>")
-    got = featured.limit(2 * (settings.labelled + settings.pool)).toArrow()
-    if not got.num_rows:
-        return None
-    got = got.sort_by("doc_id")
-    x = np.array(got["x"].to_pylist())
-    y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()])
-    rank = np.argsort([zlib.crc32(str(i).encode()) for i in got["doc_id"].to_pylist()], kind="stable")
-    x, y = x[rank], y[rank]
-    text, meta, has = x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:], ~np.isnan(y)
-    if not 0 < y[has].sum() < has.sum():
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
+    ids = docs.select(own(docs, id_col).alias("doc_id"))
+    chosen = stage.put(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.labelled), "chosen")
+    got = _sampled(docs, chosen, id_col, text_col)
+    if got is None or not 0 < got[1].sum() < len(got[1]):
         return None
-    return co_train(text[has], meta[has], y[has], text[~has], meta[~has], settings)
+    trainer = Trainer(*got, settings)
+    model = trainer.fit()
+    kind = chosen.schema["doc_id"]
+    taken = chosen.select("doc_id")  # bounded: the labelled sample and what was handed over
+    for k in range(settings.rounds):
+        screened = stage.put(_confident(docs, model, settings, id_col, text_col, taken), f"confident{k}")
+        different = screened.groupBy("giver", "label", "key").agg(F.min("doc_id").alias("doc_id"), F.max("logit").alias("logit"))
+        picks = [
+            (giver, float(label), [r["doc_id"] for r in different.where(f"giver = {giver} and label = {label}").orderBy(F.desc("logit"), "key").limit(settings.handed).select("doc_id").collect()])
+            for giver in (0, 1)
+            for label in (1, 0)
+        ]
+        for giver in (0, 1):
+            handed = {i: label for g, label, found in picks if g == giver for i in found}
+            if handed:
+                wanted = spark.createDataFrame(list(handed.items()), T.StructType([kind, T.StructField("y", T.DoubleType())]))
+                more = _sampled(docs, wanted, id_col, text_col)
+                if more:
+                    trainer.hand(1 - giver, *more)
+                taken = taken.union(wanted.select("doc_id"))
+        model = trainer.fit()
+    return model
 
 
 def with_scores(docs: DataFrame, model: CoTrained | None, settings: Settings = Settings(), text_col: str = "text", *, only_kept: bool = False) -> DataFrame:
     """``docs`` with quality_score and quality_kept; ``only_kept`` leaves rejected documents out."""
-    own = docs.drop("quality_score", "quality_kept")
+    mine = docs.drop("quality_score", "quality_kept")
     if model is None:
-        return own.withColumns({"quality_score": F.lit(None).cast("double"), "quality_kept": F.lit(True)})
-    names = own.columns
+        return mine.withColumns({"quality_score": F.lit(None).cast("double"), "quality_kept": F.lit(True)})
+    names = mine.columns
+    places = [names.index(c) for c in (text_col, "source", "lang", "n_chars")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.RecordBatch.from_arrays(
-                [batch.column(text_col).cast(pa.string()), batch.column("source"), batch.column("lang"), batch.column("n_chars").cast(pa.int64())], ["text", "source", "lang", "n_chars"]
-            )
-            score = model.score(*_views(table))
+            rows = pa.RecordBatch.from_arrays([batch.column(i).cast(kind) for i, kind in zip(places, kinds, strict=True)], ["text", "source", "lang", "n_chars"])
+            score = model.combined(*model.logits(rows))
             kept = pa.array(score >= settings.threshold)
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), kept], [*names, "quality_score", "quality_kept"])
             yield out.filter(kept) if only_kept else out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInArrow(scored, f"{schema}, quality_score double, quality_kept boolean")
+    return mine.mapInArrow(scored, extended(mine.schema, quality_score=T.DoubleType(), quality_kept=T.BooleanType()))

@@ -1,12 +1,16 @@
 import functools
 import hashlib
+import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
 from panelwright.llm import bpe, cotrain, pii, queries, repetition
+from panelwright.llm import textgrid as tg
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -232,15 +236,76 @@ def test_the_model_sides_with_the_better_labelers():
     assert pii.train([], []) == {} and pii.train(counts[2:3], [0.0]) == {}
 
 
+def auc(score, y):
+    good, bad = [s for s, q in zip(score, y, strict=True) if q], [s for s, q in zip(score, y, strict=True) if not q]
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+
+
 def test_quality_on_held_out_labels(spark, sf):
+    """Each view and both together, on labels that were not fitted."""
     folder = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     model = cotrain.fit(docs, labels.where("doc_id % 2 = 0"))
-    out = cotrain.with_scores(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    rest = labels.where("doc_id % 2 = 1")
+    out = cotrain.with_scores(docs, model).join(rest, "doc_id")
     for quality in (0, 1):
         rows = out.where(f"quality = {quality}")
         kept = rows.where("quality_kept").count() / rows.count()
         assert kept > 0.98 if quality else kept < 0.1
+    rows = docs.join(rest, "doc_id").select("text", "source", "lang", "n_chars", "quality").toArrow().combine_chunks().to_batches()[0]
+    text, meta = model.logits(rows)
+    y = rows.column("quality").to_pylist()
+    assert auc(text, y) > 0.98 and auc(meta, y) > 0.5 and auc(model.combined(text, meta), y) > 0.98
+
+
+def grams(text):
+    """A text's words, word pairs and character trigrams in UTF-8, letters in lower case."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", low)
+    return [words, list(zip(words, words[1:], strict=False)), [low[i : i + 3] for i in range(len(low) - 2)]]
+
+
+def test_text_view_equals_brute_force(edges):
+    """Features by plain counting, with buckets so many that none holds two different features."""
+    texts = [r.text or "" for r in edges.select("text").collect()] + ["a b a b", "b c! b c!", "x", "", "ab", "A B"]
+    y = np.array([i % 2 for i in range(len(texts))], float)
+    data, offs = tg.flat(pa.array(texts, pa.string()))
+    got = cotrain.grams(data, offs)
+    for k in range(3):
+        name = {}  # bucket of each feature
+        for i, text in enumerate(texts):
+            mine = got[k][0][got[k][1][i] : got[k][1][i + 1]].tolist()
+            assert len(mine) == len(grams(text)[k])
+            for gram, bucket in zip(grams(text)[k], mine, strict=True):
+                assert name.setdefault(gram, bucket) == bucket
+    buckets, counts, first = cotrain.sparse(data, offs)
+    sample = cotrain.Sample(cotrain.shares(data, offs), buckets, counts, first, np.zeros((len(texts), 1)))
+    settings = cotrain.Settings()
+    view = cotrain.TextView.fit(sample, y, settings)
+    assert np.allclose(view.rows(sample), view.rows_of(data, offs))
+    seen = [Counter(), Counter()]
+    for i in range(len(texts)):
+        seen[int(y[i])].update(set(buckets[first[i] : first[i + 1]].tolist()))
+    total = [(y == q).sum() + settings.smooth for q in (0, 1)]
+    mean = np.mean([seen[0][b] + seen[1][b] + 1 for b in range(sum(cotrain.SIZES))])
+    for b in buckets.tolist():
+        extra = settings.smooth * (seen[0][b] + seen[1][b] + 1) / mean
+        assert np.isclose(view.odds[b], math.log((seen[1][b] + extra) / total[1]) - math.log((seen[0][b] + extra) / total[0]))
+
+
+def test_handed_over_are_the_most_confident_of_all(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").repartition(3), spark.read.parquet(f"{sf}/labels.parquet")
+    settings = cotrain.Settings(rounds=0, handed=7, sure=0.6)
+    model = cotrain.fit(docs, labels, settings)
+    none = labels.select("doc_id").where("false")
+    rows = docs.select("text", "source", "lang", "n_chars", "doc_id").toArrow().combine_chunks().to_batches()[0]
+    for giver, logit in enumerate(model.logits(rows)):
+        for label, sign in ((1, 1), (0, -1)):
+            sure = sorted(((sign * s, t, m) for s, t, m in zip(logit, rows.column("text").to_pylist(), rows.column("source").to_pylist(), strict=True) if sign * s >= math.log(1.5)), key=lambda x: -x[0])
+            best = [s for k, (s, t, m) in enumerate(sure) if all((t, m) != x[1:] for x in sure[:k])][:7]
+            found = cotrain._confident(docs, model, settings, "doc_id", "text", none).where(f"giver = {giver} and label = {label}").collect()
+            assert np.allclose(sorted({r.key: r.logit for r in found}.values(), reverse=True)[: len(best)], best)
+            assert len(found) <= 3 * 7
 
 
 def test_quality_edges(spark, edges, nothing):
@@ -251,3 +316,7 @@ def test_quality_edges(spark, edges, nothing):
     assert cotrain.fit(edges, labels.where("quality = 1")) is None and cotrain.fit(nothing, labels) is None
     assert cotrain.with_scores(edges, None).where("not quality_kept").count() == 0
     assert cotrain.with_scores(nothing, model).count() == 0
+    both = labels.union(labels.selectExpr("doc_id", "1 - quality"))
+    assert cotrain.fit(edges, both) is None  # of documents with both labels none counts
+    first, again = (cotrain.with_scores(edges, cotrain.fit(df, labels)).select("doc_id", "quality_score").collect() for df in (edges, edges.repartition(5).union(edges)))
+    assert sorted(map(str, first)) == sorted(map(str, again))  # repeated rows change nothing
