@@ -246,12 +246,14 @@ class Sample:
 
 
 def _averaged(odds: np.ndarray, sample: Sample) -> np.ndarray:
-    """Each document's mean log-odds over its words, pairs and trigrams, given the log-odds of each of its features."""
+    """Each document's mean log-odds over its words, pairs and trigrams; some documents at a time, for the sake of memory."""
     out = np.zeros((len(sample), len(SIZES)))
-    kind = np.searchsorted(_FROM, sample.buckets, side="right") - 1
-    for k in range(len(SIZES)):
-        held = np.where(kind == k, sample.counts, 0)
-        out[:, k] = _sums(held * odds, sample.first) / np.maximum(_sums(held, sample.first), 1)
+    for a in range(0, len(sample), 256):
+        first = sample.first[a : a + 257]
+        buckets, counts = sample.buckets[first[0] : first[-1]], sample.counts[first[0] : first[-1]]
+        for k in range(len(SIZES)):
+            held = np.where((buckets >= _FROM[k]) & (buckets < _FROM[k + 1]), counts, 0)
+            out[a : a + 256, k] = _sums(held * odds[buckets], first - first[0]) / np.maximum(_sums(held, first - first[0]), 1)
     return out
 
 
@@ -264,19 +266,21 @@ class TextView:
 
     @staticmethod
     def fit(sample: Sample, y: np.ndarray, settings: Settings) -> TextView:
-        of = np.repeat(y, np.diff(sample.first))
-        seen = np.stack([np.bincount(sample.buckets, weights=of == label, minlength=_FROM[-1]) for label in (0, 1)])
-        common = (seen.sum(0) + 1) / (seen.sum(0) + 1).mean()
-        extra = settings.smooth * common
-        totals = np.array([(y == 0).sum(), (y == 1).sum()], float) + settings.smooth
-        rate = lambda count, total: np.log(count / total)
-        odds = rate(seen[1] + extra, totals[1]) - rate(seen[0] + extra, totals[0])
-        b = sample.buckets  # the document itself doesn't count
-        without = rate(seen[1][b] - (of == 1) + extra[b], totals[1] - (of == 1)) - rate(seen[0][b] - (of == 0) + extra[b], totals[0] - (of == 0))
-        return TextView(odds, Logit.fit(np.column_stack([_averaged(without, sample), sample.shares]), y, settings.ridge))
+        of = np.repeat(y == 1, np.diff(sample.first))
+        good = np.bincount(sample.buckets[of], minlength=_FROM[-1])
+        bad = np.bincount(sample.buckets, minlength=_FROM[-1]) - good
+        extra = settings.smooth * (good + bad + 1) / (good + bad + 1).mean()
+        n_good, n_bad = (y == 1).sum() + settings.smooth, (y == 0).sum() + settings.smooth
+        odds = lambda g, b: np.log((good - g + extra) / (n_good - g)) - np.log((bad - b + extra) / (n_bad - b))
+        rows = np.empty((len(sample), len(SIZES)))
+        for label, own_ in ((0, (0, 1)), (1, (1, 0))):  # a document itself doesn't count
+            seen = (good >= own_[0]) & (bad >= own_[1])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                rows[y == label] = _averaged(np.where(seen, odds(*own_), 0.0), sample.take(y == label))
+        return TextView(odds(0, 0), Logit.fit(np.column_stack([rows, sample.shares]), y, settings.ridge))
 
     def rows(self, sample: Sample) -> np.ndarray:
-        return np.column_stack([_averaged(self.odds[sample.buckets], sample), sample.shares])
+        return np.column_stack([_averaged(self.odds, sample), sample.shares])
 
     def rows_of(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The same for the whole texts of a chunk, without counting."""
@@ -308,17 +312,20 @@ class Trainer:
             held = np.zeros(len(y), bool)
         self.settings = settings
         self.held, self.held_y = (sample.take(held), y[held]) if held.any() else (sample, y)
-        self.rows = [(sample.take(~held), y[~held])] * 2  # of the text view, of the metadata view
+        self.text, self.text_y = (sample.take(~held), y[~held]) if held.any() else (sample, y)
+        self.meta, self.meta_y = self.text.meta, self.text_y
 
     def hand(self, taker: int, sample: Sample, y: np.ndarray) -> None:
-        rows, labels = self.rows[taker]
-        self.rows[taker] = (rows.plus(sample), np.concatenate([labels, y]))
+        """More training rows for the text view (0) or the metadata view (1)."""
+        if taker:
+            self.meta, self.meta_y = np.concatenate([self.meta, sample.meta]), np.concatenate([self.meta_y, y])
+        else:
+            self.text, self.text_y = self.text.plus(sample), np.concatenate([self.text_y, y])
 
     def fit(self) -> CoTrained:
-        (rows, y), (meta_rows, meta_y) = self.rows
-        text = TextView.fit(rows, y, self.settings)
+        text = TextView.fit(self.text, self.text_y, self.settings)
         text.model.calibrate(text.rows(self.held), self.held_y)
-        meta = Logit.fit(meta_rows.meta, meta_y, self.settings.ridge)
+        meta = Logit.fit(self.meta, self.meta_y, self.settings.ridge)
         meta.calibrate(self.held.meta, self.held_y)
         return CoTrained(text, meta, float(np.log(self.held_y.mean() / (1 - self.held_y.mean()))))
 
@@ -359,7 +366,7 @@ def _sampled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     buckets, meta = column("buckets"), np.zeros((len(ids), META_FEATURES))
     first = np.concatenate([[0], np.cumsum(buckets.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     meta[np.repeat(np.arange(len(ids)), 3), column("meta").flatten().to_numpy().astype(np.int64)] = 1
-    sample = Sample(column("shares").flatten().to_numpy().reshape(len(ids), SHARES), buckets.flatten().to_numpy().astype(np.int64), column("counts").flatten().to_numpy().astype(np.int64), first, meta)
+    sample = Sample(column("shares").flatten().to_numpy().reshape(len(ids), SHARES), buckets.flatten().to_numpy(), column("counts").flatten().to_numpy(), first, meta)
     return sample.take(order), column("y").to_numpy(zero_copy_only=False)[order]
 
 

@@ -9,17 +9,19 @@ range partitions. A partition is one index file: compressed blocks of ``BLOCK``
 the sparse directory of the blocks' first keys, then its length. A table with one row per index
 file has the first key of each.
 
-Look-up: a key is sent to the index file that may hold it (binary search over the files' first
-keys), there to a block (binary search over the directory, read by range), there to its capture
-(binary search); the captures found are grouped by archive file and records are read by range.
+Look-up: each different key is sent to the index files that may hold it (binary search over the
+files' first keys), there to the blocks that may (binary search over the directory, read by
+range), there to its captures (binary search); all captures of a key are found, however many there
+are. They are grouped by archive file and records are read by range.
 
 The broadcast list has a row per index file, that is per shuffle partition. A failed attempt's
-files are left unreferenced. Files are reached through pyarrow's file systems, so the shared
-folder has to be one that pyarrow can open (file, hdfs, s3, gs).
+files are left unreferenced. Files are reached through pyarrow's file systems, by the shared
+folder's full path as Spark has it; a scheme that pyarrow can't open raises an error.
 
-Defined results: null html is an empty payload, a null url has the key ``-``, a null page id sorts
-as -1. Rows that repeat both page id and payload are the same capture and are each written alike.
-An empty table gives no files. Other columns are ignored.
+Defined results: page ids are whole numbers. Null html is an empty payload, a null url has the key
+``-``, a null page id sorts as -1. Rows that share page id and url have one key: each of them is a
+record, and a look-up of the key returns all of them. Rows that repeat the least page id of a
+payload are each responses. An empty table gives no files. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
@@ -110,7 +112,9 @@ def parse_record(member: bytes) -> dict:
 
 
 def _open(base: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(base)
+    """The file system of a full path, and the path in it."""
+    scheme, _, rest = base.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else base)
 
 
 @dataclass(frozen=True)
@@ -125,6 +129,7 @@ def write_archive(pages: DataFrame) -> Archive:
     """Writes a record for each row of ``pages`` (page_id, url, html), and the index."""
     stage = Staging(pages.sparkSession, "warc")
     base = stage.path("archive")
+    _open(base)  # raises here for a scheme that the executors could not open
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("html", 256)))
     firsts = rows.groupBy("sha").agg(F.min(F.struct("page_id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", F.lit(True).alias("shared"), "first")
@@ -204,46 +209,48 @@ def _ranges(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[
 
 
 def look_up(archive: Archive, wanted: DataFrame) -> DataFrame:
-    """The captures (key, file, offset, length) of the rows (page_id, url) of ``wanted``."""
+    """All captures (key, file, offset, length) of the different keys of ``wanted`` (page_id, url)."""
     base = archive.base
     top = sorted((r["first_key"], r["file"], r["at"], r["length"]) for r in archive.files.collect())  # a row per index partition
     firsts = [t[0] for t in top]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [capture_key(u, p) for u, p in zip(batch.column("url").to_pylist(), batch.column("page_id").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([max(bisect_right(firsts, k) - 1, 0) for k in keys], pa.int32()), pa.array(keys, pa.string())], ["part", "key"])
+            parts, keys = [], []
+            for url, page in zip(batch.column("url").to_pylist(), batch.column("page_id").to_pylist(), strict=True):
+                key = capture_key(url, page)
+                held = range(max(bisect_left(firsts, key) - 1, 0), bisect_right(firsts, key))  # equal keys may be in several files
+                parts += held
+                keys += [key] * len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.string())], ["part", "key"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(base)
-        opened = at_block = None
+        opened = at_block = last = None
         directory: list = []
         block: list = []
         keys_: list[str] = []
         for batch in batches:
             found = []
             for part, key in zip(batch.column("part").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                if part >= len(top):
+                if (part, key) == last:  # ordered, so different urls with one key are neighbours
                     continue
+                last = part, key
                 _, file, at, length = top[part]
                 if opened != part:
                     source = system.open_input_file(f"{root}/{file}")
                     directory = json.loads(zlib.decompress(source.read_at(length, at)))
-                    starts, opened, at_block = [d[0] for d in directory], part, None
-                k = bisect_right(starts, key) - 1
-                if k < 0:
-                    continue
-                if at_block != k:
-                    block = [json.loads(x) for x in zlib.decompress(source.read_at(directory[k][2], directory[k][1])).decode().split("\n")]
-                    keys_, at_block = [b[0] for b in block], k
-                j = bisect_right(keys_, key) - 1
-                if j >= 0 and keys_[j] == key:
-                    found.append(block[j])
+                    begin, opened, at_block = [d[0] for d in directory], part, None
+                for k in range(max(bisect_left(begin, key) - 1, 0), bisect_right(begin, key)):
+                    if at_block != k:
+                        block = [json.loads(x) for x in zlib.decompress(source.read_at(directory[k][2], directory[k][1])).decode().split("\n")]
+                        keys_, at_block = [x[0] for x in block], k
+                    found += block[bisect_left(keys_, key) : bisect_right(keys_, key)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["key", "file", "offset", "length"])
 
-    routed = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(sent, "part int, key string")
-    return routed.repartition("part").sortWithinPartitions("part", "key").mapInArrow(searched, CAPTURE)
+    different = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).distinct()
+    return different.mapInArrow(sent, "part int, key string").repartition("part").sortWithinPartitions("part", "key").mapInArrow(searched, CAPTURE)
 
 
 def read_records(archive: Archive, captures: DataFrame) -> DataFrame:
