@@ -10,14 +10,14 @@ Texts that share a sketch aren't all paired. A bucket's hub is its member whose
 shared most, and each member is compared with its hubs. Where a hub's members end up in different
 components, the hub's most similar member takes its place (in a group of edited copies that is the
 original, or as good as it) and is compared with the members outside its component. While the
-other members are in several components, pairs of them are left to find: each member draws its
-first k-mers, those that the hub lacks before the others and the least first, as many as a partner
-of similarity 0.8 can't all miss, so that the two draw a k-mer in common. The k-mers drawn make the
-next round's buckets, of which those within one component are done. Where few members are outside
-a bucket's largest component, they are compared with all others; the other buckets have hubs again.
-After ``HUB_ROUNDS`` of these, all pairs of a bucket that are in different components and whose
-lengths allow the limit are compared: nothing is left out, but that last join grows with the square
-of a bucket's size where many texts that share a drawn k-mer are unlike each other.
+other members are in several components, pairs of them are left to find, exactly, by a prefix
+filter: each member orders its k-mers, those that the hub lacks first and the least first, and
+draws as many as a partner of similarity 0.8 can't all miss. Two members meet in the first k-mer
+that both draw; what comes before its places is matched by neither, so they are compared only if
+what is left is enough for similarity 0.8 (and they aren't in one component). What a family has in
+common stands last in its members' orders, and a member that the hub is unlike has more of its own
+before it than a partner may miss, so members meet in what they alone share. No bucket, round or
+partner is capped.
 
 Verification aligns the two sequences of labelled k-mers: equal k-mers whose places differ by at
 most the band (the k-mers that a pair of similarity 0.8 can have unmatched) are chained in order;
@@ -51,10 +51,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 SAMPLED = 3
-#: So many members outside a bucket's largest component are compared with all others; with more, the bucket has a hub.
-FEW = 16
-#: Rounds in which buckets have hubs; then all pairs left in a bucket are compared.
-HUB_ROUNDS = 2
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), 0x5F, *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -187,7 +183,7 @@ def drawn(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
 
 
 def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, size) for the rows (u, v, a, b): the k-mers that u draws in the family of v, and how many k-mers it has."""
+    """(key, node, size, place) for the rows (u, v, a, b): the k-mers that u draws in the family of v, how many k-mers it has, and how many are before."""
     for batch in batches:
         families = tg.mix(batch.column("v").to_numpy().view(np.uint64))
         keys, sizes = [], []
@@ -197,7 +193,9 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keys:
             many = np.array([len(x) for x in keys])
             nodes = np.repeat(batch.column("u").to_numpy(), many)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes), pa.array(np.repeat(np.array(sizes), many))], ["key", "node", "size"])
+            places = np.concatenate([np.arange(n, dtype=np.int64) for n in many])
+            columns = [np.concatenate(keys).view(np.int64), nodes, np.repeat(np.array(sizes), many), places]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "size", "place"])
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -253,46 +251,45 @@ def near_links(texts: DataFrame, sketched: DataFrame, stage: Staging) -> DataFra
     buckets = stage.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets0")
     shared = stage.put(keys.join(buckets, "key"), "shared0")
     fame = stage.put(shared.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
-    few, k = None, 0
-    while True:
-        famed = stage.put(shared.join(fame, "node").select("key", "node", "fame"), f"famed{k}")
-        hubs = stage.put(famed.groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("hub")), f"hubs{k}")
-        family = famed.join(hubs, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-        family = stage.put(family, f"family{k}")
-        found = links.compare(family if few is None else family.union(few).distinct())
-        stage.drop(*[f"{used}{k}" for used in ("keys", "buckets", "shared", "famed", "hubs")])
-        # a family that fell apart goes to its hub's most similar member
-        placed = stage.put(_placed(family, links.labels).join(found.select("u", "v", "sim"), ["u", "v"], "left"), f"placed{k}")
-        best = F.max_by("u", F.struct("sim", -F.col("u"))).alias("w")
-        torn = placed.groupBy("v").agg(F.count("*").alias("n"), F.count_if(F.col("cu") != F.col("cv")).alias("apart"), best).where("apart > 0 and n > 1").select("v", "w")
-        torn = stage.put(torn, f"torn{k}")
-        moved = placed.select("u", "v").join(torn, "v").where("u != w").select("u", F.col("w").alias("v")).distinct()
-        moved = stage.put(moved, f"moved{k}")
-        links.compare(moved)
-        # what is left are pairs of two other members
-        left = stage.put(_placed(moved, links.labels), f"left{k}")
-        apart = left.groupBy("v").agg(F.min("cu").alias("least"), F.max("cu").alias("most")).where("least != most").select("v")
-        again = stage.put(left.select("u", "v").join(stage.put(apart, f"apart{k}"), "v").select("u", "v"), f"again{k}")
-        if again.isEmpty():
-            return links.labels
-        k += 1
-        drawn_keys = stage.put(_with_texts(again, links.texts).mapInArrow(_drawn, "key long, node long, size long"), f"keys{k}")
-        comps = links.labels.select("node", "comp")
-        keys = stage.put(drawn_keys.distinct().join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"parts-of-keys{k}")
-        parts = keys.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        buckets = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-        every = stage.put(keys.join(stage.put(buckets, f"buckets{k}"), "key"), f"shared{k}")
-        direct = (F.col("others") <= FEW) | F.lit(k == HUB_ROUNDS)
-        shared = every.where(~direct)
-        u = every.where(direct & (F.col("comp") != F.col("main"))).select("key", F.col("node").alias("u"), F.col("size").alias("a"), F.col("comp").alias("cu"))
-        v = every.where(direct).select("key", "main", F.col("node").alias("v"), F.col("size").alias("b"), F.col("comp").alias("cv"))
-        alike = F.least("a", "b") >= SIMILARITY * F.greatest("a", "b") - 1e-6  # else lengths alone rule out the limit
-        few = u.join(v, "key").where((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))) & alike)
-        few = stage.put(few.select("u", "v").distinct(), f"few{k}")
-        stage.drop(f"parts-of-keys{k}")
-        if k == HUB_ROUNDS:
-            links.compare(few)
-            return links.labels
+    famed = stage.put(shared.join(fame, "node").select("key", "node", "fame"), "famed")
+    hubs = stage.put(famed.groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("hub")), "hubs")
+    family = stage.put(famed.join(hubs, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "family")
+    found = links.compare(family)
+    stage.drop("keys0", "buckets0", "shared0", "fame", "famed", "hubs")
+    # a family that fell apart goes to its hub's most similar member
+    placed = stage.put(_placed(family, links.labels).join(found.select("u", "v", "sim"), ["u", "v"], "left"), "placed0")
+    best = F.max_by("u", F.struct("sim", -F.col("u"))).alias("w")
+    torn = placed.groupBy("v").agg(F.count("*").alias("n"), F.count_if(F.col("cu") != F.col("cv")).alias("apart"), best).where("apart > 0 and n > 1").select("v", "w")
+    torn = stage.put(torn, "torn")
+    moved = stage.put(placed.select("u", "v").join(torn, "v").where("u != w").select("u", F.col("w").alias("v")).distinct(), "moved")
+    links.compare(moved)
+    # what is left are pairs of two other members
+    left = stage.put(_placed(moved, links.labels), "left")
+    apart = left.groupBy("v").agg(F.min("cu").alias("least"), F.max("cu").alias("most")).where("least != most").select("v")
+    again = stage.put(left.select("u", "v").join(stage.put(apart, "apart"), "v").select("u", "v"), "again")
+    if not again.isEmpty():
+        links.compare(_meeting(again, links, stage))
+    return links.labels
+
+
+def _meeting(family: DataFrame, links: _Links, stage: Staging) -> DataFrame:
+    """The pairs (u, v) of two members of one family (u, v: the hub) that are in different components and may be similar."""
+    keys = stage.put(_with_texts(family, links.texts).mapInArrow(_drawn, "key long, node long, size long, place long"), "drawn")
+    comps = links.labels.select("node", "comp")
+    keys = stage.put(keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "drawn-parts")
+    parts = keys.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0").select("key", "main")
+    every = stage.put(keys.join(stage.put(buckets, "mains"), "key"), "several")
+    # in a bucket only what is outside its main component looks for partners
+    u = every.where("comp != main").select("key", F.col("node").alias("u"), F.col("size").alias("a"), F.col("place").alias("i"), F.col("comp").alias("cu"))
+    v = every.select("key", "main", F.col("node").alias("v"), F.col("size").alias("b"), F.col("place").alias("j"), F.col("comp").alias("cv"))
+    needed = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("a") + F.col("b")) - 1e-6
+    once = (F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))
+    enough = F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) >= needed
+    pairs = u.join(v, [u["key"] == v["key"], F.col("cu") != F.col("cv"), once, enough]).select("u", "v").distinct()
+    pairs = stage.put(pairs, "meeting")
+    stage.drop("drawn", "drawn-parts", "several")
+    return pairs
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False) -> DataFrame:
