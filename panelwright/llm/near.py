@@ -14,7 +14,9 @@ other members are in several components, pairs of them are left to find, exactly
 filter: each member orders its k-mers, those that the hub lacks first and the least first, and
 draws as many as a partner of similarity 0.8 can't all miss. Two members meet in the first k-mer
 that both draw; what comes before its places is matched by neither, so they are compared only if
-what is left is enough for similarity 0.8 (and they aren't in one component). What a family has in
+what is left is enough for similarity 0.8 (and they aren't in one component). Nor can they match
+more than the lesser of their numbers of k-mers of each class, a class being some bits of the
+k-mer and whether the hub has it; where that is too few, they aren't compared either. What a family has in
 common stands last in its members' orders, and a member that the hub is unlike has more of its own
 before it than a partner may miss, so members meet in what they alone share. No bucket, round or
 partner is capped.
@@ -58,6 +60,8 @@ _SEEDS = tg.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAE
 _MULT = np.uint64(0x9FB21C651E98DF25)
 _S29 = np.uint64(29)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Classes of k-mers by their first bits.
+CLASSES = 16
 
 
 def kmers(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,20 +186,29 @@ def drawn(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
     return np.concatenate([member[~held], member[held]])[: int((1 - SIMILARITY) * len(member) + 1e-9) + 1]
 
 
+def class_counts(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """How many of the member's k-mers are of each class: their first bits, and whether the hub has them."""
+    first = (member >> np.uint64(60)).astype(np.int64)
+    return np.bincount(first + CLASSES * np.isin(member, hub), minlength=2 * CLASSES)
+
+
 def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, size, place) for the rows (u, v, a, b): the k-mers that u draws in the family of v, how many k-mers it has, and how many are before."""
+    """(key, node, size, place, held) for the rows (u, v, a, b): the k-mers that u draws in the family of v, how many k-mers it has, how many are before, and how many of each class it has."""
     for batch in batches:
         families = tg.mix(batch.column("v").to_numpy().view(np.uint64))
-        keys, sizes = [], []
+        keys, sizes, held = [], [], []
         for family, x, y in zip(families, _kmer_lists(batch.column("a")), _kmer_lists(batch.column("b")), strict=True):
             keys.append(tg.mix(drawn(x, y) ^ family))
             sizes.append(len(x))
+            held.append(class_counts(x, y))
         if keys:
             many = np.array([len(x) for x in keys])
             nodes = np.repeat(batch.column("u").to_numpy(), many)
             places = np.concatenate([np.arange(n, dtype=np.int64) for n in many])
             columns = [np.concatenate(keys).view(np.int64), nodes, np.repeat(np.array(sizes), many), places]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "size", "place"])
+            counts = np.repeat(np.array(held, np.int32), many, axis=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in columns], lists], ["key", "node", "size", "place", "held"])
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -274,19 +287,20 @@ def near_links(texts: DataFrame, sketched: DataFrame, stage: Staging) -> DataFra
 
 def _meeting(family: DataFrame, links: _Links, stage: Staging) -> DataFrame:
     """The pairs (u, v) of two members of one family (u, v: the hub) that are in different components and may be similar."""
-    keys = stage.put(_with_texts(family, links.texts).mapInArrow(_drawn, "key long, node long, size long, place long"), "drawn")
+    keys = stage.put(_with_texts(family, links.texts).mapInArrow(_drawn, "key long, node long, size long, place long, held array<int>"), "drawn")
     comps = links.labels.select("node", "comp")
     keys = stage.put(keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "drawn-parts")
     parts = keys.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0").select("key", "main")
     every = stage.put(keys.join(stage.put(buckets, "mains"), "key"), "several")
     # in a bucket only what is outside its main component looks for partners
-    u = every.where("comp != main").select("key", F.col("node").alias("u"), F.col("size").alias("a"), F.col("place").alias("i"), F.col("comp").alias("cu"))
-    v = every.select("key", "main", F.col("node").alias("v"), F.col("size").alias("b"), F.col("place").alias("j"), F.col("comp").alias("cv"))
+    u = every.where("comp != main").select("key", F.col("node").alias("u"), F.col("size").alias("a"), F.col("place").alias("i"), F.col("held").alias("p"), F.col("comp").alias("cu"))
+    v = every.select("key", "main", F.col("node").alias("v"), F.col("size").alias("b"), F.col("place").alias("j"), F.col("held").alias("q"), F.col("comp").alias("cv"))
     needed = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("a") + F.col("b")) - 1e-6
     once = (F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))
     enough = F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) >= needed
-    pairs = u.join(v, [u["key"] == v["key"], F.col("cu") != F.col("cv"), once, enough]).select("u", "v").distinct()
+    alike = sum((F.least(F.col("p")[k], F.col("q")[k]) for k in range(2 * CLASSES)), F.lit(0)) >= needed
+    pairs = u.join(v, [u["key"] == v["key"], F.col("cu") != F.col("cv"), once, enough, alike]).select("u", "v").distinct()
     pairs = stage.put(pairs, "meeting")
     stage.drop("drawn", "drawn-parts", "several")
     return pairs
