@@ -15,7 +15,8 @@ from . import store
 from .functions.sqlforms import VALUE_WEIGHT, buckets, long_short, nearest, terciles
 from .operators import calendars, clean, cross_section, factors, fundamentals, metrics, overview, portfolio, regress, returns, signals
 from .plans import panels as P
-from .sources import html_tables, prices, vendor_json
+from .plans import returns_pipeline, tearsheet
+from .sources import html_tables, prices, reference, vendor_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -680,7 +681,9 @@ def partitioned_roundtrip(spark, sf):
 
 @query(f"with {P.SD} select symbol, count(*) as n from sd group by symbol")
 def sql_view_count(spark, sf):
-    P.supplier_day(spark, sf).createOrReplaceTempView("panelwright_sd")
+    path = store.scratch(spark, "view")
+    store.write_partitioned(P.supplier_day(spark, sf), path)
+    store.register_view(spark, "panelwright_sd", path)
     return store.sql(spark, "select symbol, count(*) as n from panelwright_sd group by 1")
 
 
@@ -770,3 +773,269 @@ def coverage(spark, sf):
 @query(f"with {R} select 'ret' as name, count(ret) as n, round(avg(ret), 8) as mean, round(stddev_samp(ret), 8) as std, min(ret) as least, max(ret) as most from r")
 def describe_returns(spark, sf):
     return overview.describe(_sm(spark, sf), ["ret"]).select("name", "n", *r8("mean", "std"), "least", "most")
+
+
+# files of the lake --------------------------------------------------------------------------------
+
+_ONE_DAY = f"{P.SDS}, day as (select * from sds where trade_date = (select max(trade_date) from sds))"
+_DAY_ROWS = """select trade_date, symbol, series, close, tottrdqty, tottrdval from day where series in ('EQ', 'BE')
+    qualify row_number() over (partition by symbol order by case series when 'EQ' then 0 else 1 end) = 1"""
+
+
+def _one_day(spark, sf) -> tuple[list, object]:
+    """The last day's rows, some thousand, and the day."""
+    panel = P.supplier_day_series(spark, sf)
+    day = panel.agg(F.max("trade_date")).first()[0]
+    return panel.where(F.col("trade_date") == F.lit(day)).collect(), day
+
+
+def _legacy_text(rows: list, day) -> str:
+    head = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,LAST,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TIMESTAMP,TOTALTRADES,ISIN,"
+    return "\n".join([head, *[f"{r.symbol.lower()} ,{r.series},,,,{r.close!r},,,{r.tottrdqty!r},{r.tottrdval!r},{day:%d-%b-%Y},1,X," for r in rows]]) + "\n"
+
+
+@query(f"with {_ONE_DAY} {_DAY_ROWS}")
+def price_file_old_dialect(spark, sf):
+    """A day's file in the older dialect, dated by its name."""
+    rows, day = _one_day(spark, sf)
+    path = store.scratch(spark, "legacy")
+    store.put_bytes(spark, f"{path}/cm{day:%d%b%Y}bhav.csv", _legacy_text(rows, day).encode())
+    return prices.read_price_csv(spark, path).select("trade_date", "symbol", "series", "close", "tottrdqty", "tottrdval")
+
+
+@query(f"with {_ONE_DAY} {_DAY_ROWS}")
+def price_zip_text_member(spark, sf):
+    """A day's report zip: a text member with the table among others without one."""
+    import io
+    import zipfile
+
+    rows, day = _one_day(spark, sf)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr("readme.txt", "what is\nin here\n" * 100_000)
+        out.writestr("a/PD.txt", _legacy_text(rows, day))
+        out.writestr("index.csv", "NAME,VALUE\nx,1\n")
+    path = store.scratch(spark, "report")
+    store.put_bytes(spark, f"{path}/PR{day:%d%m%y}.zip", held.getvalue())
+    return prices.read_price_files(spark, path).select("trade_date", "symbol", "series", "close", "tottrdqty", "tottrdval")
+
+
+@query(f"with {P.SD}, {P.FUND} select 'returns' as name, year(trade_date)::varchar as part, count(*) as n from sd group by all union all select 'fundamentals', '', count(*) from fund")
+def standard_views(spark, sf):
+    """The lake's views, and the partitions that are listed, counted by SQL."""
+    lake = store.scratch(spark, "lake")
+    store.write_partitioned(P.supplier_day(spark, sf), f"{lake}/returns")
+    store.write_flat(P.fundamentals(spark, sf), f"{lake}/fundamentals")
+    if store.register_standard_views(spark, lake) != ["returns", "fundamentals"]:
+        raise AssertionError("other views than tables")
+    years = ", ".join(f"'{y}'" for y in store.partitions(spark, f"{lake}/returns"))
+    return store.sql(
+        spark,
+        f"select 'returns' as name, cast(year as string) as part, count(*) as n from returns where cast(year as string) in ({years}) group by year union all select 'fundamentals', '', count(*) from fundamentals",
+    )
+
+
+@query(f"with {P.SD} select trade_date, symbol, close from sd where symbol in ('S1', 'S2', 'S3') or year(trade_date) = 1996")
+def partition_pruning(spark, sf):
+    """A table by symbol and one by year, read by some of their partitions."""
+    path = store.scratch(spark, "pruned")
+    panel = P.supplier_day(spark, sf)
+    store.write_partitioned(panel, f"{path}/year")
+    store.write_partitioned(panel.where("symbol in ('S1', 'S2', 'S3')"), f"{path}/symbol", by="symbol")
+    some = store.read_partitioned(spark, f"{path}/symbol", symbols=["S1", "S2", "S3"], columns=["trade_date", "symbol", "close"])
+    return some.union(store.read_partitioned(spark, f"{path}/year", years=[1996], columns=["trade_date", "symbol", "close"])).distinct()
+
+
+@query(f"with {P.FUND} select symbol, as_of_date, case when month(as_of_date) = 3 then market_cap * 2 else market_cap end as market_cap, book_value from fund union all select symbol, (as_of_date + interval 1 day)::date, market_cap, null from fund where month(as_of_date) = 6")
+def upsert_by_key(spark, sf):
+    path = store.scratch(spark, "upsert")
+    base = P.fundamentals(spark, sf).select("symbol", "as_of_date", "market_cap", "book_value")
+    store.upsert(base, path, ["symbol", "as_of_date"])
+    march = base.where(F.month("as_of_date") == 3).withColumn("market_cap", F.col("market_cap") * 2)
+    june = base.where(F.month("as_of_date") == 6).select("symbol", F.date_add("as_of_date", 1).alias("as_of_date"), "market_cap", F.lit(None).cast("double").alias("book_value"))
+    store.upsert(march.union(june), path, ["symbol", "as_of_date"])
+    return spark.read.parquet(path)
+
+
+@query(f"with {P.FUND} select symbol, as_of_date, available_date, market_cap, book_value, book_value / market_cap as book_to_market from fund")
+def fundamentals_csv(spark, sf):
+    path = store.scratch(spark, "fundamentals")
+    own = P.fundamentals(spark, sf).select(F.date_format("as_of_date", "dd-MMM-yyyy").alias("As_Of_Date"), F.concat(F.lower("symbol"), F.lit(".NS ")).alias("SYMBOL"), "market_cap", "book_value")
+    own.write.option("header", True).csv(path)
+    return reference.read_fundamentals(spark, path)
+
+
+@query(f"with {P.RF} select date, round(annualized_yield, 10) as annualized_yield, round(daily_rf, 12) as daily_rf, source from rf union all select date '1990-01-01', null, null, 'rbi_91d_tbill'")
+def risk_free_csv(spark, sf):
+    """Yields in percent, and one that is missing."""
+    path = store.scratch(spark, "rates")
+    own = P.risk_free(spark, sf).select(F.date_format("date", "dd/MM/yyyy").alias("Auction_Date"), (F.col("annualized_yield") * 100).cast("string").alias("YTM"))
+    small = F.when(F.col("YTM").cast("double") > 1, F.col("YTM")).otherwise((F.col("YTM").cast("double") / 100).cast("string"))
+    gone = spark.sql("select '01/01/1990' as Auction_Date, '-' as YTM")
+    own.withColumn("YTM", small).union(gone).write.option("header", True).csv(path)
+    return reference.read_risk_free(spark, path).select("date", F.round("annualized_yield", 10).alias("annualized_yield"), F.round("daily_rf", 12).alias("daily_rf"), "source")
+
+
+@query(f"with {P.UNI} select as_of_date, symbol, 'Name of ' || symbol as company_name, null::varchar as industry, 'IN' || symbol as isin from uni")
+def universe_csv(spark, sf):
+    path = store.scratch(spark, "universe")
+    own = P.universe(spark, sf).select("as_of_date", F.concat(F.lit("Name of "), "symbol").alias("Company Name"), F.col("symbol").alias("Symbol"), F.concat(F.lit("IN"), "symbol").alias("ISIN Code"))
+    own.union(own).write.option("header", True).csv(path)
+    return reference.read_universe(spark, path)
+
+
+@query(f"with {P.FUND} select as_of_date, symbol, max(book_value) as shares from fund where month(as_of_date) <> 3 group by all")
+def shares_history(spark, sf):
+    path = store.scratch(spark, "shares")
+    own = P.fundamentals(spark, sf).select("as_of_date", "symbol", F.when(F.month("as_of_date") != 3, F.col("book_value")).otherwise(0.0).alias("shares"))
+    store.write_flat(own, path)
+    return reference.read_shares(spark, path)
+
+
+@query(f"with {P.SDS} select trade_date, symbol, max(close) as close from sds where year(trade_date) = 1996 group by all")
+def load_closes(spark, sf):
+    return prices.closes(P.supplier_day_series(spark, sf), years=[1996])
+
+
+@query(
+    f"""with {P.FUND} select symbol, as_of_date, (as_of_date + interval 40 day)::date as available_date, book_value from fund
+        qualify row_number() over (partition by symbol order by as_of_date desc) <= 6"""
+)
+def vendor_statements(spark, sf):
+    own = P.fundamentals(spark, sf)
+    one = F.struct(F.col("as_of_date").cast("string").alias("date"), F.concat(F.date_add("as_of_date", 40).cast("string"), F.lit(" 17:00:00")).alias("acceptedDate"), F.col("book_value").cast("string").alias("totalStockholdersEquity"))
+    landed = own.groupBy("symbol").agg(F.to_json(F.collect_list(one)).alias("body"))
+    return vendor_json.statement_quarters(landed, periods=6).select("symbol", "as_of_date", "available_date", "book_value")
+
+
+# options and whole plans --------------------------------------------------------------------------
+
+
+@query(f"with {RD} select trade_date, symbol, case when tottrdval > 5000 then abs(ret) / (tottrdval - 5000) else -1 end as illiq from r where ret is not null")
+def amihud_scalar(spark, sf):
+    rows = _sd(spark, sf).where("ret is not null")
+    return rows.select("trade_date", "symbol", signals.daily_illiq(F.col("ret"), F.col("tottrdval") - 5000, -1.0).alias("illiq"))
+
+
+@query(f"with {R} select bool_or(ret is not null) as ret, false as none from r")
+def usable_columns(spark, sf):
+    there = signals.has_values(_sm(spark, sf).withColumn("none", F.lit(None).cast("double")), "ret", "none")
+    return spark.createDataFrame([(there["ret"], there["none"])], "ret boolean, none boolean")
+
+
+@query(f"with {P.FUND} select as_of_date, as_of_date as available_date, symbol, market_cap, null::double as book_value, null::double as book_to_market from fund")
+def equity_as_fundamentals(spark, sf):
+    return fundamentals.equity_as_fundamentals(P.fundamentals(spark, sf).select("as_of_date", "symbol", "market_cap"))
+
+
+def _sleeve_mean(size: str, value: str) -> str:
+    inside = f"filter (sz = '{size}' and val = '{value}')"
+    return f"(sum(w * ret) {inside} / case when sum(w) {inside} <> 0 then sum(w) {inside} end)"
+
+
+_SIX = f"{_PF}, {_SIZE}, {terciles('sized', 'valued', 'book_to_market', 'val')}, six as (select *, {VALUE_WEIGHT} as w from valued where ret is not null)"
+_M = _sleeve_mean
+
+
+@query(f"with {_SIX} select trade_date, round(({_M('S', 'L')} + {_M('S', 'N')} + {_M('S', 'H')} - {_M('B', 'L')} - {_M('B', 'N')} - {_M('B', 'H')}) / 3, 8) as SMB from six group by trade_date")
+def factor_smb_2x3(spark, sf):
+    return factors.smb(P.priced_with_fundamentals(spark, sf), method="ff2x3").select("trade_date", *r8("SMB"))
+
+
+@query(f"with {_SIX} select trade_date, round(({_M('S', 'H')} + {_M('B', 'H')} - {_M('S', 'L')} - {_M('B', 'L')}) / 2, 8) as HML from six group by trade_date")
+def factor_hml_2x3(spark, sf):
+    return factors.hml(P.priced_with_fundamentals(spark, sf), method="ff2x3").select("trade_date", *r8("HML"))
+
+
+@query(
+    f"""with {_EQ}, formed as (select distinct trade_date from wts), full_ as (select f.trade_date, n.symbol, w.weight from formed f cross join (select distinct symbol from wts) n left join wts w on f.trade_date = w.trade_date and n.symbol = w.symbol),
+        asof_ as (select g.trade_date, g.symbol, w.weight from (select * from (select distinct trade_date from mom) cross join (select distinct symbol from wts)) g asof left join full_ w on g.symbol = w.symbol and g.trade_date >= w.trade_date)
+        select trade_date, symbol, round(weight, 8) as weight from (select trade_date, symbol, lag(weight) over (partition by symbol order by trade_date) as weight from asof_) where weight is not null"""
+)
+def propagate_weights_rebalanced(spark, sf):
+    held = portfolio.propagate(_weights(spark, sf), calendars.trading_calendar(P.supplier_month(spark, sf)), hold="rebalance")
+    return held.select("trade_date", "symbol", *r8("weight"))
+
+
+@query(f"with {_EQ} select trade_date, round(sum(weight), 8) + 0.0 as w_sum, count(*) filter (weight = 0) as n_zero from wts group by trade_date having abs(sum(weight)) >= 1e-10 or count(*) filter (weight = 0) > 0")
+def neutrality(spark, sf):
+    """Dates whose weights don't sum to 0: none."""
+    return portfolio.neutrality_violations(_weights(spark, sf)).select("trade_date", *r8("w_sum"), "n_zero")
+
+
+_CLEAN_GRID = f"""{P.SDS}, one as (select * from sds where series in ('EQ', 'BE') qualify row_number() over (partition by trade_date, symbol order by case series when 'EQ' then 0 else 1 end) = 1),
+    grid as (select * from (select distinct trade_date from sds) cross join (select distinct symbol from one)),
+    full_ as (select g.trade_date, g.symbol, o.close, o.series, max(case when o.close is not null then g.trade_date end) over (partition by g.symbol) as last_date from grid g left join one o on g.trade_date = o.trade_date and g.symbol = o.symbol),
+    liq as (select *, coalesce(trade_date > last_date, false) as is_liquidated from full_)"""
+
+
+@query(f"with {_CLEAN_GRID} select trade_date, symbol, series, close, is_liquidated, close is null as is_suspended, close is null as is_missing_ohlc from liq")
+def clean_prices_calendar(spark, sf):
+    raw = P.supplier_day_series(spark, sf)
+    out = clean.clean_prices(raw, apply_calendar=True, calendar=calendars.trading_calendar(raw))
+    return out.select("trade_date", "symbol", "series", "close", "is_liquidated", "is_suspended", "is_missing_ohlc")
+
+
+@query(f"with {_CLEAN_GRID} select trade_date, symbol, case when not is_liquidated then close / lag(close) over (partition by symbol order by trade_date) - 1 end as ret, is_liquidated from liq")
+def returns_pipeline_lake(spark, sf):
+    """Raw prices through the whole pipeline into a lake, and its returns read back."""
+    config = returns_pipeline.PipelineConfig(out=store.scratch(spark, "pipeline"))
+    return returns_pipeline.run_returns_pipeline(spark, config, P.supplier_day_series(spark, sf)).returns.select("trade_date", "symbol", "ret", "is_liquidated")
+
+
+_Z = lambda x: f"round(case when stddev_samp({x}) over (partition by trade_date) > 0 then ({x} - avg({x}) over (partition by trade_date)) / stddev_samp({x}) over (partition by trade_date) end, 6)"
+
+
+_RAW_MOM = MOM.replace("round(exp", "(exp").replace(" - 1, 10) end", " - 1) end")
+
+
+@query(f"with {_RAW_MOM}, {illiq_sql(6, 'mom')} select trade_date, symbol, round(illiq_signal * 1e6, 8) as illiq_signal, round(mom_12_1, 10) as mom_12_1, {_Z('illiq_signal')} as illiq_signal_z, {_Z('mom_12_1')} as mom_12_1_z from sig")
+def characteristic_panel(spark, sf):
+    panel = factors.characteristic_panel(_sm(spark, sf), window=6, lookback=12, skip=1, winsor=False, size=False, value=False)
+    return panel.select("trade_date", "symbol", F.round(F.col("illiq_signal") * 1e6, 8).alias("illiq_signal"), F.round("mom_12_1", 10).alias("mom_12_1"), F.round("illiq_signal_z", 6).alias("illiq_signal_z"), F.round("mom_12_1_z", 6).alias("mom_12_1_z"))
+
+
+@query(
+    f"""with {_PF}, lg as (select trade_date, symbol, ln(market_cap) as x from pf), cutl as (select l.*, case when x is not null then least(greatest(x, lo), hi) end as w
+        from lg l join (select trade_date as td, {nearest('x', 0.01, '')} as lo, {nearest('x', 0.99, '')} as hi from lg group by trade_date) on trade_date = td)
+        select trade_date, symbol, {_Z('w')} as log_me_z from cutl"""
+)
+def signal_panel_size(spark, sf):
+    return factors.signal_panel(P.priced_with_fundamentals(spark, sf), "size").select("trade_date", "symbol", F.round("log_me_z", 6).alias("log_me_z"))
+
+
+@query(f"with {_FACTORS}, {_MKT} select trade_date, round(WML, 8) as WML, round(ILLIQ, 8) as ILLIQ, round(MKT, 8) as MKT from fac left join mkt using (trade_date)")
+def tearsheet_factors(spark, sf):
+    """The tearsheet's factors with the market's, by date."""
+    return tearsheet.with_market(_factor_panel(spark, sf), _sm(spark, sf)).select("trade_date", *r8("WML", "ILLIQ", "MKT"))
+
+
+_TWO = f"{MOM}, two as (select trade_date, ret as y, mom_12_1 as x1, ln(tottrdval) as x2 from mom where ret is not null and mom_12_1 is not null and tottrdval > 0)"
+_TWO_OUT = """sums as (select trade_date, count(*) as n, avg(y) as my, avg(x1) as m1, avg(x2) as m2, covar_pop(x1, x1) as s11, covar_pop(x2, x2) as s22, covar_pop(x1, x2) as s12, covar_pop(x1, y) as s1y, covar_pop(x2, y) as s2y
+        from two group by trade_date having count(*) >= 20),
+    sol as (select *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) as b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) as b2 from sums)"""
+
+
+def _two_signals(spark, sf) -> DataFrame:
+    return _mom(_sm(spark, sf)).withColumn("log_value", F.when(F.col("tottrdval") > 0, F.log("tottrdval")))
+
+
+@query(f"with {_TWO}, {_TWO_OUT} select trade_date, round(my - b1 * m1 - b2 * m2, 6) as intercept, round(b1, 6) as mom_12_1, round(b2, 6) as log_value from sol")
+def fm_gamma_two(spark, sf):
+    out = regress.fama_macbeth(_two_signals(spark, sf), ["mom_12_1", "log_value"], "ret", pvalues=False)
+    return out.path.select("trade_date", *[F.round(c, 6).alias(c) for c in ("intercept", "mom_12_1", "log_value")])
+
+
+@query(
+    f"""with {_FACTORS}, {_MKT}, two as (select r.symbol, r.ret as y, mkt.MKT as x1, fac.WML as x2 from r join mkt using (trade_date) join fac using (trade_date) where r.ret is not null and fac.WML is not null),
+        {_TWO_OUT.replace('trade_date', 'symbol').replace('>= 20', '>= 60')} select symbol, n as n_obs, round(my - b1 * m1 - b2 * m2, 6) as alpha, round(b1, 6) as beta_MKT, round(b2, 6) as beta_WML from sol"""
+)
+def ts_betas_two(spark, sf):
+    both = tearsheet.with_market(_factor_panel(spark, sf), _sm(spark, sf))
+    out = regress.time_series_betas(_sm(spark, sf), both, ["MKT", "WML"], "ret")
+    return out.select("symbol", "n_obs", *[F.round(c, 6).alias(c) for c in ("alpha", "beta_MKT", "beta_WML")])
+
+
+@query(f"with {R} select round(stddev_samp(ret) / sqrt(count(ret)), 10) as se from r where year(trade_date) = 1996")
+def contrast_error(spark, sf):
+    return _sm(spark, sf).where(F.year("trade_date") == 1996).agg(regress.contrast_se(F.col("ret")).alias("se")).select(F.round("se", 10).alias("se"))

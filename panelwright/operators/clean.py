@@ -54,18 +54,29 @@ def liquidation_grid(df: DataFrame, calendar: DataFrame | None = None, symbols:
     """The panel on calendar x symbols, so that a name that stops trading stays in sight.
 
     After its last close a name is liquidated; without a close before that it is suspended (rows
-    before the first trade too). Dates off the calendar go. The calendar is joined to the symbols
-    without a hint; Spark broadcasts the smaller one if its size allows.
+    before the first trade too). Dates off the calendar go, and names off the list. The panel's own
+    rows stay as they are; per symbol one row gathers its dates and its last close, and only the
+    calendar's other dates are added, so all of it is dealt by symbol.
     """
     df = cast_types(df)
     if "is_suspended" not in df.columns:
         df = flag_quality(df)
-    dates = calendar.select("trade_date").distinct() if calendar is not None else df.select("trade_date").where("trade_date is not null").distinct()
-    names = symbols.select("symbol").distinct() if symbols is not None else df.select("symbol").where("symbol is not null").distinct()
-    grid = names.crossJoin(dates)  # the operator's meaning: every date of every symbol
-    rows = grid.join(df, ["trade_date", "symbol"], "left")
-    last = F.max(F.when(F.col("close").isNotNull(), F.col("trade_date"))).over(Window.partitionBy("symbol"))
-    rows = rows.withColumn("_last", last)
+    rows = df
+    if calendar is not None:
+        rows = rows.join(calendar.select("trade_date").distinct(), "trade_date", "left_semi")
+    if symbols is not None:
+        rows = rows.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    rows = rows.where("trade_date is not null and symbol is not null")
+    dates = (calendar if calendar is not None else df).where("trade_date is not null").agg(F.sort_array(F.collect_set("trade_date")).alias("_dates"))  # a date is 4 bytes
+    closed = F.max(F.when(F.col("close").isNotNull(), F.col("trade_date")))
+    listed = df.select("symbol").where("symbol is not null").distinct() if symbols is None else symbols.select("symbol").where("symbol is not null").distinct()
+    free = calendar is None and symbols is None
+    names = (df.where("symbol is not null") if free else rows).groupBy("symbol").agg(closed.alias("_last"), F.collect_set("trade_date").alias("_seen"))
+    if not free:  # names that have no row on the calendar
+        names = listed.join(names, "symbol", "left").withColumn("_seen", F.coalesce("_seen", F.array().cast("array<date>")))
+    empty = names.crossJoin(F.broadcast(dates)).select("symbol", "_last", F.explode(F.array_except("_dates", "_seen")).alias("trade_date"))  # one row on the right
+    own = rows.repartition("symbol").withColumn("_last", closed.over(Window.partitionBy("symbol")))
+    rows = own.unionByName(empty, allowMissingColumns=True).select("trade_date", "symbol", *[c for c in df.columns if c not in ("trade_date", "symbol")], "_last")
     gone = F.coalesce(F.col("trade_date") > F.col("_last"), F.lit(False))
     shut = F.coalesce(F.col("is_suspended"), F.lit(False)) | (F.col("close").isNull() & ~gone) | gone
     return rows.withColumns({"is_liquidated": gone, "is_suspended": shut, "is_missing_ohlc": F.coalesce(F.col("is_missing_ohlc"), F.col("close").isNull())}).drop("_last")

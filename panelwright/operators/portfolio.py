@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import sum0
-from .asof import asof_join
 from .calendars import rebalance_dates, trading_calendar
 from .cross_section import KINDS, sorts
 from .signals import lag_signal
@@ -66,20 +65,26 @@ def propagate(weights: DataFrame, calendar: DataFrame, hold: str = "asof") -> Da
     """Each formation's weight from the next calendar date on, until the name's next formation.
 
     ``hold="rebalance"`` lets go of names that the next formation leaves out; ``asof`` keeps them.
+    A formation is a stretch of the calendar's numbers, which becomes a row for each of its dates;
+    what a row has besides its weight is of the same formation. The numbering is a window over
+    calendar and formation dates, some thousand rows.
     """
-    extra = [c for c in ("quantile", "is_long", "is_short") if c in weights.columns]
-    dates = calendar.select("trade_date").distinct()
-    names = weights.select("symbol").distinct()
-    rows = weights.select("trade_date", "symbol", "weight", *extra)
-    if hold == "rebalance":
-        formed = names.crossJoin(weights.select("trade_date").distinct())
-        rows = formed.join(rows, ["trade_date", "symbol"], "left")
-    elif hold != "asof":
+    if hold not in ("asof", "rebalance"):
         raise ValueError(f"unknown hold {hold}")
-    grid = names.crossJoin(dates)  # the operator's meaning: every date of every held name
-    held = asof_join(grid, rows.withColumnRenamed("trade_date", "_formed"), "trade_date", "_formed", ["symbol"], ["_formed", "weight", *extra])
-    day = Window.partitionBy("symbol").orderBy("trade_date")
-    return held.withColumn("weight", F.lag("weight").over(day)).where("weight is not null").select("trade_date", "symbol", "weight", *extra)
+    extra = [c for c in ("quantile", "is_long", "is_short") if c in weights.columns]
+    days = calendar.select("trade_date").where("trade_date is not null").distinct()
+    formed = weights.select(F.col("trade_date").alias("_f")).where("_f is not null").distinct()
+    order = Window.orderBy("d", "m")
+    both = days.select(F.col("trade_date").alias("d"), F.lit(1).alias("m")).union(formed.select(F.col("_f").alias("d"), F.lit(0).alias("m")))
+    numbered = both.withColumns({"k": F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("m").over(Window.partitionBy())})
+    first = numbered.where("m = 0").select(F.col("d").alias("trade_date"), (F.col("k") + 1).alias("_from"), "n")  # the first calendar date at or after
+    first = first.withColumn("_after", F.lead("_from").over(Window.orderBy("_from")))
+    dates = numbered.where("m = 1").select("k", F.col("d").alias("_day"))
+    rows = weights.select("trade_date", "symbol", "weight", *extra).join(first, "trade_date")
+    until = F.col("_after") if hold == "rebalance" else F.lead("_from").over(Window.partitionBy("symbol").orderBy("trade_date"))
+    rows = rows.withColumn("_to", F.least(F.coalesce(until, F.col("n")), F.col("n"))).where("_from < _to and weight is not null")
+    held = rows.select("symbol", "weight", *extra, F.explode(F.expr("sequence(_from + 1, _to)")).alias("k"))
+    return held.join(dates, "k").select(F.col("_day").alias("trade_date"), "symbol", "weight", *extra)
 
 
 def turnover(weights: DataFrame) -> DataFrame:

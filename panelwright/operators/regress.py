@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite
@@ -56,8 +56,8 @@ def newey_west(df: DataFrame, value: str, by: list[str] | None = None, date: str
     """mean, nw_se, t_stat, n_periods (and p_value) of a series' finite values, per group.
 
     Bartlett weights, no small-sample correction; automatic lags floor(4 (n / 100)^(2/9)), at most
-    n - 1. Without lags the usual standard error. Null below 2 values. The autocovariances are lag
-    windows over the series, summed in one aggregation per lag number; a series has one value a date.
+    n - 1. Without lags the usual standard error. Null below 2 values. A group's series, one value a
+    date and so some thousand values, is gathered into one array, and each lag is a pass over it.
     """
     keys = by or []
     rows = df.where(finite(F.col(value))).select(*keys, F.col(date).alias("_t"), F.col(value).cast("double").alias("_v"))
@@ -97,8 +97,9 @@ def contrast_se(value: Column) -> Column:
 def grouped_ols(df: DataFrame, y: str, xs: list[str], by: str, least: int, intercept: bool = True) -> DataFrame:
     """One row per group with enough complete rows: ``by``, n, intercept (where asked for) and a coefficient per regressor.
 
-    Values are centred by their group's means before the products are summed; the pseudo-inverse
-    gives the least-norm slopes for collinear regressors.
+    Means and centred products are running aggregates, updated per task and merged in one exchange
+    of a row per task and group; the pseudo-inverse gives the least-norm slopes for collinear
+    regressors.
     """
     values = [y, *xs]
     good = finite(F.col(y))
@@ -107,14 +108,11 @@ def grouped_ols(df: DataFrame, y: str, xs: list[str], by: str, least: int, inter
     rows = df.where(good).select(F.col(by).alias("_g"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(values)])
     k = len(values)
     if intercept:
-        group = Window.partitionBy("_g")
-        rows = rows.withColumns({f"_m{i}": F.avg(f"_v{i}").over(group) for i in range(k)})
-        part = lambda i: F.col(f"_v{i}") - F.col(f"_m{i}")
-        means = [F.first(f"_m{i}").alias(f"_m{i}") for i in range(k)]
+        means = [F.avg(f"_v{i}").alias(f"_m{i}") for i in range(k)]
+        products = [(F.covar_pop(f"_v{i}", f"_v{j}") * F.count(F.lit(1))).alias(f"_p{i}_{j}") for i in range(k) for j in range(i, k)]
     else:
-        part = lambda i: F.col(f"_v{i}")
         means = [F.lit(0.0).alias(f"_m{i}") for i in range(k)]
-    products = [F.sum(part(i) * part(j)).alias(f"_p{i}_{j}") for i in range(k) for j in range(i, k)]
+        products = [F.sum(F.col(f"_v{i}") * F.col(f"_v{j}")).alias(f"_p{i}_{j}") for i in range(k) for j in range(i, k)]
     gram = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), *means, *products).where(F.col("n") >= max(least, len(xs) + intercept + 1))
     kind = df.schema[by].dataType.simpleString()
 

@@ -22,9 +22,14 @@ class Tearsheet:
     place: Path
 
 
+def with_market(factor_returns: DataFrame, returns: DataFrame) -> DataFrame:
+    """The factors with the equal-weight market of their dates."""
+    return factor_returns.join(equal_weight_market(returns), "trade_date", "left")
+
+
 def build_tearsheet(returns: DataFrame, factor_returns: DataFrame, folder: str, *, two_pass: bool = True, least_series: int = 60, least: int = 20, ret: str = "excess_ret", more: dict[str, Path] | None = None) -> Tearsheet:
     """MKT joined to the factors by date, their metrics and correlations, and premia of betas on all of them."""
-    both = factor_returns.join(equal_weight_market(returns), "trade_date", "left")
+    both = with_market(factor_returns, returns)
     columns = [c for c in both.columns if c != "trade_date"]
     metrics, corr = factor_metrics(both, columns), correlation_matrix(both, columns)
     premia = fama_macbeth_two_pass(returns, both, columns, ret, least_series=least_series, least=least) if two_pass else None

@@ -12,13 +12,15 @@ from .store import write_flat
 
 
 def markdown_table(df: DataFrame, digits: int = 4, most: int = 10_000) -> str:
-    """A table of a small frame; null and NaN are blank."""
-    rows = df.limit(most).collect()
+    """A table of a small frame; null and NaN are blank. A frame of over ``most`` rows ends with a line that says so."""
+    rows = df.limit(most + 1).collect()
     if not rows:
         return "_empty_"
+    more = [f"\n_the first {most} rows; the Parquet file has all_"] if len(rows) > most else []
+    rows = rows[:most]
     show = lambda v: "" if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in rows]]
-    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+    return "\n".join(["| " + " | ".join(line) + " |" for line in lines] + more)
 
 
 def write_report(folder: str, title: str, parts: dict[str, DataFrame], name: str = "report") -> Path:

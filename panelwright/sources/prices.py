@@ -50,7 +50,6 @@ UDIFF = {
     "TtlTrfVal": "tottrdval",
 }
 DATE_FORMATS = ("yyyy-MM-dd", "dd-MMM-yyyy", "dd-MM-yyyy")
-MEMBER_TOKENS = ("BHAV", "PD", "SEC", "CM", "EQ")
 TEXT_COLUMNS = PRICES.fieldNames()
 
 
@@ -73,40 +72,47 @@ def date_of_name(name: str) -> dt.date | None:
     return None
 
 
-def members(name: str, body: bytes) -> Iterator[str]:
-    """The CSV texts of a file: itself, or a zip's members, likely price files first."""
+def members(body: bytes) -> Iterator[str]:
+    """The texts of a file: itself, or a zip's CSV and text members, larger ones first."""
     if not body.startswith(b"PK"):
         yield body.decode("utf-8-sig", "replace")
         return
     with zipfile.ZipFile(io.BytesIO(body)) as held:
-        names = [n for n in held.namelist() if n.lower().endswith(".csv")]
-        for n in sorted(names, key=lambda n: -sum(t in n.upper() for t in MEMBER_TOKENS)):
-            yield held.read(n).decode("utf-8-sig", "replace")
+        for one in sorted(held.infolist(), key=lambda i: (-i.file_size, i.filename)):
+            if one.filename.lower().endswith((".csv", ".txt")):
+                yield held.read(one).decode("utf-8-sig", "replace")
 
 
 def parse_text(text: str, dialect: str = "auto") -> list[dict[str, str]]:
-    """Rows with canonical names, all values as text; none if the header is of neither dialect."""
+    """Rows with canonical names, all values as text. ``auto`` takes the older dialect for a header
+    it doesn't know; a header without symbol and close raises."""
     rows = csv.reader(io.StringIO(text))
     header = [h.strip() for h in next(rows, [])]
     kind = detect_dialect(header) if dialect == "auto" else dialect
-    if kind == "auto":
-        return []
     lookup = {k.upper(): v for k, v in (UDIFF if kind == "udiff" else LEGACY).items()}
     places = {i: lookup[h.upper()] for i, h in enumerate(header) if h.upper() in lookup}
+    if not {"symbol", "close"} <= set(places.values()):
+        raise ValueError(f"neither dialect has the header {header[:20]}")
     return [{name: row[i].strip() for i, name in places.items() if i < len(row)} for row in rows if row]
 
 
+def parse_file(path: str, body: bytes) -> list[dict[str, str]]:
+    """The rows of the first member that can be parsed; raises where none can."""
+    why: list[str] = []
+    for text in members(body):
+        try:
+            return parse_text(text)
+        except (ValueError, csv.Error) as failed:
+            why.append(str(failed))
+    raise ValueError(f"{path} has no price table: {'; '.join(why) or 'no CSV or text member'}")
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, body in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            name = path.rsplit("/", 1)[-1]
-            day = date_of_name(name)
-            for text in members(name, body):
-                rows = parse_text(text)
-                if rows:
-                    columns = [pa.array([r.get(c) for r in rows], pa.string()) for c in TEXT_COLUMNS]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([day] * len(rows), pa.date32())], [*TEXT_COLUMNS, "file_date"])
-                    break
+            rows, day = parse_file(path, body), date_of_name(path.rsplit("/", 1)[-1])
+            columns = [pa.array([r.get(c) for r in rows], pa.string()) for c in TEXT_COLUMNS]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([day] * len(rows), pa.date32())], [*TEXT_COLUMNS, "file_date"])
 
 
 def canonicalize(raw: DataFrame, trade_date: dt.date | None = None, symbol_map: SymbolMap | None = None) -> DataFrame:

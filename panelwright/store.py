@@ -26,13 +26,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 def write_partitioned(df: DataFrame, path: str, by: str = "year", date_col: str = "trade_date", compression: str = "snappy") -> None:
     """Replaces the partitions that ``df`` has rows of, and no others; ``by`` is year or a column.
 
-    Rows are dealt by partition key and a hash of the date or symbol, so a large year is written
-    by many tasks and a small one by few. A dataset may be read and overwritten in place.
+    Rows are rebalanced by partition key: Spark splits a large year into as many tasks as its size
+    asks for and puts small ones together. A dataset may be read and overwritten in place.
     """
     rows = df.withColumn("year", F.year(date_col)) if by == "year" else df
-    rows.repartition(F.col(by), F.pmod(F.xxhash64(*[c for c in (date_col, "symbol") if c in df.columns]), F.lit(4))).write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "compression", compression
-    ).parquet(path)
+    rows.hint("rebalance", F.col(by)).write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).parquet(path)
 
 
 def write_flat(df: DataFrame, path: str, single: bool = False) -> None:
@@ -40,18 +38,31 @@ def write_flat(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def upsert(new: DataFrame, path: str, keys: list[str], order: list[Column] | None = None) -> None:
-    """Rows of ``new`` win over those of the table by key; the whole is written aside, then swapped in."""
+    """Rows of ``new`` win over those of the table by key; the whole is written aside, then swapped in.
+
+    The old table is renamed before the new one takes its place and goes last; one that a lost
+    driver left under its other name is put back first.
+    """
     spark = new.sparkSession
+    fs, place = _fs(spark, path)
+    _, old = _fs(spark, f"{path.rstrip('/')}-before")
+    if fs.exists(old):
+        if fs.exists(place):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, place)
     rows = new.withColumn("_age", F.lit(0))
     if exists(spark, path):
         rows = rows.unionByName(spark.read.parquet(path).withColumn("_age", F.lit(1)), allowMissingColumns=True)
     first = Window.partitionBy(*keys).orderBy("_age", *(order or [F.col(c).desc_nulls_last() for c in new.columns if c not in keys]))
     aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     write_flat(rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_age"), aside)
-    fs, place = _fs(spark, path)
     _, staged = _fs(spark, aside)
-    fs.delete(place, True)
-    fs.rename(staged, place)
+    if fs.exists(place):
+        fs.rename(place, old)
+    if not fs.rename(staged, place):
+        raise OSError(f"{aside} could not be renamed to {path}")
+    fs.delete(old, True)
 
 
 def read_partitioned(spark: SparkSession, path: str, years: list[int] | None = None, symbols: list[str] | None = None, columns: list[str] | None = None) -> DataFrame | None:
@@ -104,6 +115,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def put_bytes(spark: SparkSession, path: str, body: bytes) -> None:
+    """A small file, by Spark's own file systems."""
+    fs, place = _fs(spark, path)
+    out = fs.create(place)
+    out.write(bytearray(body), 0, len(body))
+    out.close()
+
+
 def discover(spark: SparkSession, *folders: str) -> list[str]:
     """Candidate files of some folders: CSV before Parquet, each in order of name."""
     found = []

@@ -58,3 +58,45 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 
     plan = panels.supplier_day(spark, sf).where("symbol is not null")._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "l_comment" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_grid_is_dealt_by_symbol_only(spark, sf):
+    from panelwright.operators import clean, returns
+    from panelwright.plans import panels
+
+    grid = clean.liquidation_grid(clean.flag_quality(panels.supplier_day(spark, sf)))
+    plan = plan_of(returns.price_returns(returns.ensure_adj_close(grid)))
+    assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+    assert all("symbol" in x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan))
+
+
+def test_held_weights_need_no_grid(spark, sf):
+    from panelwright.operators import calendars, portfolio
+    from panelwright.plans import panels
+
+    panel = panels.with_returns(panels.supplier_month(spark, sf))
+    for hold in ("asof", "rebalance"):
+        plan = plan_of(portfolio.propagate(portfolio.form_portfolio(panel, "ret"), calendars.trading_calendar(panel), hold))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_regressions_shuffle_sums_only(spark, sf):
+    from panelwright.operators import regress
+    from panelwright.plans import panels
+
+    panel = spark.createDataFrame(panels.with_returns(panels.supplier_month(spark, sf)).limit(500).collect())
+    plan = plan_of(regress.grouped_ols(panel, "ret", ["close", "tottrdval"], "trade_date", 5))
+    assert "Window" not in plan and "partial_covar_pop" in plan and len(re.findall("Exchange", plan)) == 1
+
+
+def test_the_engine_works_without_the_corpus_modules(monkeypatch):
+    import sys
+
+    for name in ("panelwright.llm.queries", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)  # importing it raises ImportError
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)

@@ -179,3 +179,40 @@ def test_discovery_order(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in store.discover(spark, str(tmp_path), str(tmp_path / "none"))] == ["y.CSV", "z.csv", "a.parquet", "b.parquet"]
     store.write_flat(spark.range(3), str(tmp_path / "t"))
     assert store.snappy_files(spark, str(tmp_path / "t"))
+
+
+def test_unknown_headers_and_members(spark, tmp_path):
+    import io
+    import zipfile
+
+    from panelwright.sources import prices
+
+    with pytest.raises(ValueError, match="neither dialect"):
+        prices.parse_text("A,B\n1,2\n")
+    assert prices.parse_text("symbol,close,note\nX,1,n\n") == [{"symbol": "X", "close": "1"}]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
+        out.writestr("big.csv", "A,B\n" + "1,2\n" * 99)
+        out.writestr("pd.txt", "SYMBOL,SERIES,CLOSE\nX,EQ,1.5\n")
+    assert prices.parse_file("PR010120.zip", held.getvalue()) == [{"symbol": "X", "series": "EQ", "close": "1.5"}]
+    (tmp_path / "PR010120.zip").write_bytes(b"PK\x05\x06" + bytes(18))
+    with pytest.raises(Exception, match="no price table"):
+        prices.read_price_files(spark, str(tmp_path)).collect()
+
+
+def test_upsert_recovers_the_table_of_a_lost_driver(spark, tmp_path):
+    from panelwright import store
+
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    store.upsert(df, path, ["k"])
+    (tmp_path / "t").rename(tmp_path / "t-before")  # lost between the two renames
+    store.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), path, ["k"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert not (tmp_path / "t-before").exists()
+
+
+def test_long_tables_say_that_they_are_cut(spark):
+    from panelwright.report import markdown_table
+
+    assert "first 3 rows" in markdown_table(spark.range(5).toDF("x"), most=3) and "first" not in markdown_table(spark.range(3).toDF("x"), most=3)
