@@ -61,7 +61,8 @@ _MULT = np.uint64(0x9FB21C651E98DF25)
 _S29 = np.uint64(29)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Classes of k-mers by their first bits.
-CLASSES = 16
+CLASS_BITS = 6
+CLASSES = 1 << CLASS_BITS
 
 
 def kmers(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +189,7 @@ def drawn(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
 
 def class_counts(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
     """How many of the member's k-mers are of each class: their first bits, and whether the hub has them."""
-    first = (member >> np.uint64(60)).astype(np.int64)
+    first = (member >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
     return np.bincount(first + CLASSES * np.isin(member, hub), minlength=2 * CLASSES)
 
 
