@@ -449,4 +449,5 @@ def with_scores(docs: DataFrame, model: CoTrained | None, settings: Settings = S
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), kept], [*names, "quality_score", "quality_kept"])
             yield out.filter(kept) if only_kept else out
 
-    return mine.mapInArrow(scored, extended(mine.schema, quality_score=T.DoubleType(), quality_kept=T.BooleanType()))
+    plain = mine.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow resolves its input columns by unquoted names
+    return plain.mapInArrow(scored, extended(mine.schema, quality_score=T.DoubleType(), quality_kept=T.BooleanType()))
