@@ -194,22 +194,19 @@ def class_counts(member: np.ndarray, hub: np.ndarray) -> np.ndarray:
 
 
 def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, size, place, held) for the rows (u, v, a, b): the k-mers that u draws in the family of v, how many k-mers it has, how many are before, and how many of each class it has."""
+    """(node, v, size, keys, held) for the rows (u, v, a, b): how many k-mers u has, those that it draws in the family of v in order, and how many it has of each class."""
     for batch in batches:
         families = tg.mix(batch.column("v").to_numpy().view(np.uint64))
         keys, sizes, held = [], [], []
         for family, x, y in zip(families, _kmer_lists(batch.column("a")), _kmer_lists(batch.column("b")), strict=True):
-            keys.append(tg.mix(drawn(x, y) ^ family))
+            keys.append(tg.mix(drawn(x, y) ^ family).view(np.int64))
             sizes.append(len(x))
             held.append(class_counts(x, y))
         if keys:
-            many = np.array([len(x) for x in keys])
-            nodes = np.repeat(batch.column("u").to_numpy(), many)
-            places = np.concatenate([np.arange(n, dtype=np.int64) for n in many])
-            columns = [np.concatenate(keys).view(np.int64), nodes, np.repeat(np.array(sizes), many), places]
-            counts = np.repeat(np.array(held, np.int32), many, axis=0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel()))
-            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in columns], lists], ["key", "node", "size", "place", "held"])
+            ends = np.cumsum([0, *[len(x) for x in keys]])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * 2 * CLASSES, pa.int32()), pa.array(np.concatenate(held).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sizes, pa.int64()), lists, counts], ["node", "v", "size", "keys", "held"])
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -288,12 +285,15 @@ def near_links(texts: DataFrame, sketched: DataFrame, stage: Staging) -> DataFra
 
 def _meeting(family: DataFrame, links: _Links, stage: Staging) -> DataFrame:
     """The pairs (u, v) of two members of one family (u, v: the hub) that are in different components and may be similar."""
-    keys = stage.put(_with_texts(family, links.texts).mapInArrow(_drawn, "key long, node long, size long, place long, held array<int>"), "drawn")
+    members = stage.put(_with_texts(family, links.texts).mapInArrow(_drawn, "node long, v long, size long, keys array<long>, held array<int>"), "drawn")
     comps = links.labels.select("node", "comp")
-    keys = stage.put(keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "drawn-parts")
+    keys = members.drop("held").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    keys = stage.put(keys.select("node", "v", "size", "comp", F.posexplode("keys").alias("place", "key")), "drawn-parts")
     parts = keys.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0").select("key", "main")
-    every = stage.put(keys.join(stage.put(buckets, "mains"), "key"), "several")
+    several = stage.put(keys.join(stage.put(buckets, "mains"), "key"), "several")
+    # the counts by class are wide, so only what meets another component carries them
+    every = several.join(members.select("node", "v", "held"), ["node", "v"])
     # in a bucket only what is outside its main component looks for partners
     u = every.where("comp != main").select("key", F.col("node").alias("u"), F.col("size").alias("a"), F.col("place").alias("i"), F.col("held").alias("p"), F.col("comp").alias("cu"))
     v = every.select("key", "main", F.col("node").alias("v"), F.col("size").alias("b"), F.col("place").alias("j"), F.col("held").alias("q"), F.col("comp").alias("cv"))
