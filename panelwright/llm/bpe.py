@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrows import mapped
 from .columns import own
 
 REMEMBERED = 250_000
@@ -286,4 +287,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, decoded], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(own(docs, id_col).alias("doc_id"), F.coalesce(own(docs, text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(encoded, T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    return mapped(rows, encoded, T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textgrid as tg
+from .arrows import mapped
 from .columns import extended, own
 from .staging import Staging
 
@@ -357,7 +358,7 @@ def _sampled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     values = F.struct("text", "source", "lang", "n_chars")
     one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(values).alias("h"), values.alias("v"))).alias("x")).select("doc_id", "y", "x.v.*")
     schema = T.StructType([one.schema["doc_id"], one.schema["y"], *T.StructType.fromDDL("shares array<double>, buckets array<short>, counts array<int>, meta array<short>").fields])
-    got = one.mapInArrow(_counted, schema).toArrow().combine_chunks()
+    got = mapped(one, _counted, schema).toArrow().combine_chunks()
     if not got.num_rows:
         return None
     column = lambda name: got[name].combine_chunks() if isinstance(got[name], pa.ChunkedArray) else got[name]
@@ -395,7 +396,7 @@ def _confident(docs: DataFrame, model: CoTrained, settings: Settings, id_col: st
 
     id_field = rows.schema["doc_id"]
     schema = T.StructType([T.StructField("giver", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("key", T.LongType()), id_field, T.StructField("logit", T.DoubleType())])
-    return rows.mapInArrow(best, schema)
+    return mapped(rows, best, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> CoTrained | None:
@@ -450,4 +451,4 @@ def with_scores(docs: DataFrame, model: CoTrained | None, settings: Settings = S
             yield out.filter(kept) if only_kept else out
 
     plain = mine.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow resolves its input columns by unquoted names
-    return plain.mapInArrow(scored, extended(mine.schema, quality_score=T.DoubleType(), quality_kept=T.BooleanType()))
+    return mapped(plain, scored, extended(mine.schema, quality_score=T.DoubleType(), quality_kept=T.BooleanType()))

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textgrid as tg
+from .arrows import mapped
 from .columns import extended, own, whole_row
 from .components import component_links
 from .staging import Staging
@@ -240,7 +241,7 @@ class _Links:
         if self.tried is None:  # all later pairs are of nodes of these
             needed = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
             self.texts = stage.put(self.texts.join(stage.put(needed, "needed"), "rid"), "texts")
-        found = stage.put(_with_texts(pairs, self.texts).mapInArrow(_verified, "u long, v long, sim double, ok boolean"), f"found{n}")
+        found = stage.put(mapped(_with_texts(pairs, self.texts), _verified, "u long, v long, sim double, ok boolean"), f"found{n}")
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
         new = found.where("ok").select("u", "v")
         if self.labels is None or not new.isEmpty():
@@ -285,7 +286,7 @@ def near_links(texts: DataFrame, sketched: DataFrame, stage: Staging) -> DataFra
 
 def _meeting(family: DataFrame, links: _Links, stage: Staging) -> DataFrame:
     """The pairs (u, v) of two members of one family (u, v: the hub) that are in different components and may be similar."""
-    members = stage.put(_with_texts(family, links.texts).mapInArrow(_drawn, "node long, v long, size long, keys array<long>, held array<int>"), "drawn")
+    members = stage.put(mapped(_with_texts(family, links.texts), _drawn, "node long, v long, size long, keys array<long>, held array<int>"), "drawn")
     comps = links.labels.select("node", "comp")
     keys = members.drop("held").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     keys = stage.put(keys.select("node", "v", "size", "comp", F.posexplode("keys").alias("place", "key")), "drawn-parts")
@@ -314,7 +315,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = [whole_row(docs, text_col).alias("others")] if carry else []
     rows = docs.select(own(docs, id_col).alias("doc_id"), own(docs, text_col).cast("string").alias("text"), *others)
     schema = extended(rows.schema, ka=T.LongType(), kb=T.LongType(), sketch=T.ArrayType(T.LongType()))
-    every = stage.put(rows.mapInArrow(_sketched, schema).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    every = stage.put(mapped(rows, _sketched, schema).withColumn("rid", F.monotonically_increasing_id()), "rows")
     node = F.min_by("rid", F.struct("doc_id", "rid")).alias("node")
     nodes = stage.put(every.groupBy("ka", "kb").agg(node, F.min(F.struct("doc_id", "rid")).alias("least"), F.count("*").alias("n")), "nodes")
     firsts = stage.put(every.select("rid", "sketch").join(nodes.select(F.col("node").alias("rid")), "rid"), "firsts")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textgrid as tg
+from .arrows import mapped
 from .columns import own
 
 #: Highest share of a text's word characters inside duplicated n-grams, by n.
@@ -116,4 +117,4 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The counts, coverages and verdicts of each row."""
     rows = docs.select(own(docs, id_col).alias("doc_id"), F.coalesce(own(docs, text_col).cast("string"), F.lit("")).alias("text"))
     measured = T.StructType.fromDDL(SCHEMA)
-    return rows.mapInArrow(_measured, T.StructType([rows.schema["doc_id"], *measured.fields]))
+    return mapped(rows, _measured, T.StructType([rows.schema["doc_id"], *measured.fields]))

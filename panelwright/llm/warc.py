@@ -41,6 +41,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrows import mapped
 from .staging import Staging
 
 BLOCK = 512
@@ -160,7 +161,7 @@ def write_archive(pages: DataFrame) -> Archive:
         if sink:
             sink.close()
 
-    captures = stage.put(told.mapInArrow(written, CAPTURE), "captures")
+    captures = stage.put(mapped(told, written, CAPTURE), "captures")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(base)
@@ -191,7 +192,7 @@ def write_archive(pages: DataFrame) -> Archive:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, directory[0][0], at, len(packed))], ["file", "first_key", "at", "length"])
 
     ranged = captures.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    files = stage.put(ranged.mapInArrow(indexed, "file string, first_key string, at long, length long"), "files")
+    files = stage.put(mapped(ranged, indexed, "file string, first_key string, at long, length long"), "files")
     stage.drop("captures", "firsts")
     return Archive(base, files)
 
@@ -250,7 +251,7 @@ def look_up(archive: Archive, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["key", "file", "offset", "length"])
 
     different = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).distinct()
-    return different.mapInArrow(sent, "part int, key string").repartition("part").sortWithinPartitions("part", "key").mapInArrow(searched, CAPTURE)
+    return mapped(mapped(different, sent, "part int, key string").repartition("part").sortWithinPartitions("part", "key"), searched, CAPTURE)
 
 
 def read_records(archive: Archive, captures: DataFrame) -> DataFrame:
@@ -279,4 +280,4 @@ def read_records(archive: Archive, captures: DataFrame) -> DataFrame:
                 a = b
 
     stretch = F.expr("offset div 8388608")
-    return captures.repartition("file", stretch).sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    return mapped(captures.repartition("file", stretch).sortWithinPartitions("file", "offset"), read, RECORD)
