@@ -231,10 +231,17 @@ class Sample:
 
     def take(self, rows: np.ndarray) -> Sample:
         rows = np.flatnonzero(rows) if rows.dtype == bool else rows
-        sizes = np.diff(self.first)[rows]
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.first[:-1][rows] - begin[:-1], sizes) + np.arange(begin[-1])
-        return Sample(self.shares[rows], self.buckets[at], self.counts[at], begin, self.meta[rows])
+        begin = np.concatenate([[0], np.cumsum(np.diff(self.first)[rows])])
+        taken = lambda values: np.concatenate([values[:0], *[values[self.first[i] : self.first[i + 1]] for i in rows]])
+        return Sample(self.shares[rows], taken(self.buckets), taken(self.counts), begin, self.meta[rows])
+
+    def held_by(self) -> np.ndarray:
+        """How many documents have each bucket; some documents at a time, as counting widens them."""
+        out = np.zeros(_FROM[-1], np.int64)
+        for a in range(0, len(self), 256):
+            end = self.first[min(a + 256, len(self))]
+            out += np.bincount(self.buckets[self.first[a] : end], minlength=_FROM[-1])
+        return out
 
     def plus(self, other: Sample) -> Sample:
         return Sample(
@@ -267,9 +274,7 @@ class TextView:
 
     @staticmethod
     def fit(sample: Sample, y: np.ndarray, settings: Settings) -> TextView:
-        of = np.repeat(y == 1, np.diff(sample.first))
-        good = np.bincount(sample.buckets[of], minlength=_FROM[-1])
-        bad = np.bincount(sample.buckets, minlength=_FROM[-1]) - good
+        good, bad = sample.take(y == 1).held_by(), sample.take(y == 0).held_by()
         extra = settings.smooth * (good + bad + 1) / (good + bad + 1).mean()
         n_good, n_bad = (y == 1).sum() + settings.smooth, (y == 0).sum() + settings.smooth
         odds = lambda g, b: np.log((good - g + extra) / (n_good - g)) - np.log((bad - b + extra) / (n_bad - b))
@@ -358,17 +363,23 @@ def _sampled(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     values = F.struct("text", "source", "lang", "n_chars")
     one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(values).alias("h"), values.alias("v"))).alias("x")).select("doc_id", "y", "x.v.*")
     schema = T.StructType([one.schema["doc_id"], one.schema["y"], *T.StructType.fromDDL("shares array<double>, buckets array<short>, counts array<int>, meta array<short>").fields])
-    got = mapped(one, _counted, schema).toArrow().combine_chunks()
-    if not got.num_rows:
+    return _gathered(mapped(one, _counted, schema).toArrow())
+
+
+def _gathered(table: pa.Table) -> tuple[Sample, np.ndarray] | None:
+    """The rows that ``_counted`` made in order of a hash of their ids; the table is copied once and can go before they are ordered."""
+    if not table.num_rows:
         return None
-    column = lambda name: got[name].combine_chunks() if isinstance(got[name], pa.ChunkedArray) else got[name]
-    ids = column("doc_id").to_pylist()
+    ids, y = table["doc_id"].to_pylist(), table["y"].to_numpy()
     order = np.array(sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i]))))
-    buckets, meta = column("buckets"), np.zeros((len(ids), META_FEATURES))
-    first = np.concatenate([[0], np.cumsum(buckets.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    meta[np.repeat(np.arange(len(ids)), 3), column("meta").flatten().to_numpy().astype(np.int64)] = 1
-    sample = Sample(column("shares").flatten().to_numpy().reshape(len(ids), SHARES), buckets.flatten().to_numpy(), column("counts").flatten().to_numpy(), first, meta)
-    return sample.take(order), column("y").to_numpy(zero_copy_only=False)[order]
+    sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in table["buckets"].chunks])
+    shares_, buckets, counts, places = (np.concatenate([x.flatten().to_numpy() for x in table[c].chunks]) for c in ("shares", "buckets", "counts", "meta"))
+    del table
+    pa.default_memory_pool().release_unused()
+    meta = np.zeros((len(ids), META_FEATURES))
+    meta[np.repeat(np.arange(len(ids)), 3), places.astype(np.int64)] = 1
+    sample = Sample(shares_.reshape(len(ids), SHARES), buckets, counts, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), meta)
+    return sample.take(order), y[order]
 
 
 def _confident(docs: DataFrame, model: CoTrained, settings: Settings, id_col: str, text_col: str, used: DataFrame) -> DataFrame:
@@ -410,6 +421,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     if got is None or not 0 < got[1].sum() < len(got[1]):
         return None
     trainer = Trainer(*got, settings)
+    del got  # the trainer has its own copy
     model = trainer.fit()
     kind = chosen.schema["doc_id"]
     taken = chosen.select("doc_id")  # bounded: the labelled sample and what was handed over
