@@ -216,3 +216,26 @@ def test_long_tables_say_that_they_are_cut(spark):
     from panelwright.report import markdown_table
 
     assert "first 3 rows" in markdown_table(spark.range(5).toDF("x"), most=3) and "first" not in markdown_table(spark.range(3).toDF("x"), most=3)
+
+
+def test_price_files_are_parsed_some_rows_at_a_time(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    head = "symbol,series,close,tottrdqty,timestamp\n"
+    body = "\ufeff" + head + "".join(f"S{i},EQ,{i + 1},1,\"a\n\n{i}\"\n" for i in range(2500)) + "LAST,BE,7"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "cm02JAN2020bhav.csv").write_bytes(body.replace("\n", "\r\n").encode())
+    (tmp_path / "deep" / "cm02JAN2020bhav.CSV").write_bytes(b"ClsPric,SctySrs,TckrSymb\n5,EQ,CAF\xe9\n\n6,EQ,S1,more\n")
+    (tmp_path / "cm03JAN2020bhav.csv.zip").write_bytes(zipped("x.csv", body))
+    monkeypatch.setattr(prices, "BATCH", 1000)
+    files = pa.record_batch({"path": ["cm02JAN2020bhav.csv"], "content": [body.encode()]})
+    assert [b.num_rows for b in prices._parsed(iter([files]))] == [1000, 1000, 501]
+    parts = [pa.record_batch({"path": ["a.csv"] * 2 + ["b.csv"], "line": [head[:-1], "A,EQ,\"1", "CLOSE,SYMBOL"]}), pa.record_batch({"path": ["b.csv"], "line": ["2,B"]})]
+    assert [b.select(["symbol", "close"]).to_pylist() for b in prices._parsed_lines(iter(parts))] == [[{"symbol": "A", "close": "1"}], [{"symbol": "B", "close": "2"}]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # far smaller than a file
+    try:
+        out = {(r.trade_date.day, r.symbol): r for r in prices.read_price_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(out) == 2 * 2501 + 1 and out[2, "CAF\ufffd"].close == 5 and out[2, "S1"].close == 6 and out[2, "LAST"].series == out[3, "LAST"].series == "BE"
+    assert all(out[d, f"S{i}"].close == i + 1 for d in (2, 3) for i in range(2, 2500)) and out[3, "S7"].timestamp == "a\n\n7"
