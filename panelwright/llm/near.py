@@ -18,8 +18,8 @@ what is left is enough for similarity 0.8 (and they aren't in one component). No
 more than the lesser of their numbers of k-mers of each class, a class being some bits of the
 k-mer and whether the hub has it; where that is too few, they aren't compared either. What a family has in
 common stands last in its members' orders, and a member that the hub is unlike has more of its own
-before it than a partner may miss, so members meet in what they alone share. No bucket, round or
-partner is capped.
+before it than a partner may miss, so members meet in what they alone share. A pair that draws
+several common k-mers counts where it meets first. No bucket, round or partner is capped.
 
 Verification aligns the two sequences of labelled k-mers: equal k-mers whose places differ by at
 most the band (the k-mers that a pair of similarity 0.8 can have unmatched) are chained in order;
@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,8 @@ _SEEDS = tg.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAE
 _MULT = np.uint64(0x9FB21C651E98DF25)
 _S29 = np.uint64(29)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: How many of a member's keys before a place are looked through for one where a pair has met already; a pair that meets in more is only compared once, too.
+LOOK_BACK = 64
 #: Classes of k-mers by their first bits.
 CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
@@ -284,6 +286,24 @@ def near_links(texts: DataFrame, sketched: DataFrame, stage: Staging) -> DataFra
     return links.labels
 
 
+def _meetings(several: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ``_meeting``, again where they meet anew after more than LOOK_BACK other keys or in another family."""
+    # members of a family order their k-mers alike, so where two meet anew, they have met at a key before both places, and it is among these but for far ones
+    back = Window.partitionBy("node", "v").orderBy("place").rowsBetween(-LOOK_BACK, -1)
+    # the counts by class are wide, so only what meets another component carries them
+    every = several.withColumn("before", F.collect_list("key").over(back)).join(members.select("node", "v", "held"), ["node", "v"])
+    # in a bucket only what is outside its main component looks for partners
+    u = every.where("comp != main").select("key", F.col("node").alias("u"), F.col("size").alias("a"), F.col("place").alias("i"), F.col("held").alias("p"), F.col("before").alias("s"), F.col("comp").alias("cu"))
+    v = every.select("key", "main", F.col("node").alias("v"), F.col("size").alias("b"), F.col("place").alias("j"), F.col("held").alias("q"), F.col("before").alias("t"), F.col("comp").alias("cv"))
+    needed = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("a") + F.col("b")) - 1e-6
+    once = (F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))
+    enough = F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) >= needed
+    first = ~F.arrays_overlap("s", "t")
+    # one lambda; as 2 * CLASSES terms it took ten times as long
+    alike = F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x) >= needed
+    return u.join(v, [u["key"] == v["key"], F.col("cu") != F.col("cv"), once, enough, first, alike]).select("u", "v")
+
+
 def _meeting(family: DataFrame, links: _Links, stage: Staging) -> DataFrame:
     """The pairs (u, v) of two members of one family (u, v: the hub) that are in different components and may be similar."""
     members = stage.put(mapped(_with_texts(family, links.texts), _drawn, "node long, v long, size long, keys array<long>, held array<int>"), "drawn")
@@ -293,17 +313,7 @@ def _meeting(family: DataFrame, links: _Links, stage: Staging) -> DataFrame:
     parts = keys.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0").select("key", "main")
     several = stage.put(keys.join(stage.put(buckets, "mains"), "key"), "several")
-    # the counts by class are wide, so only what meets another component carries them
-    every = several.join(members.select("node", "v", "held"), ["node", "v"])
-    # in a bucket only what is outside its main component looks for partners
-    u = every.where("comp != main").select("key", F.col("node").alias("u"), F.col("size").alias("a"), F.col("place").alias("i"), F.col("held").alias("p"), F.col("comp").alias("cu"))
-    v = every.select("key", "main", F.col("node").alias("v"), F.col("size").alias("b"), F.col("place").alias("j"), F.col("held").alias("q"), F.col("comp").alias("cv"))
-    needed = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("a") + F.col("b")) - 1e-6
-    once = (F.col("cv") == F.col("main")) | (F.col("u") > F.col("v"))
-    enough = F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) >= needed
-    # one lambda; as 2 * CLASSES terms it took ten times as long
-    alike = F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x) >= needed
-    pairs = u.join(v, [u["key"] == v["key"], F.col("cu") != F.col("cv"), once, enough, alike]).select("u", "v").distinct()
+    pairs = _meetings(several, members).distinct()
     pairs = stage.put(pairs, "meeting")
     stage.drop("drawn", "drawn-parts", "several")
     return pairs

@@ -114,6 +114,16 @@ def test_excerpts_within_their_hubs_are_linked(spark):
     assert linked(spark, texts) == {frozenset({1, 2}), frozenset({3, 4})}
 
 
+def test_a_pair_that_draws_many_common_kmers_meets_once(spark, monkeypatch):
+    met, meetings = [], near._meetings
+    monkeypatch.setattr(near, "_meetings", lambda *a: met.append(meetings(*a).collect()) or meetings(*a))
+    words = [f"w{i}" for i in range(1200)]
+    other = [f"x{i}" if i % 150 == 75 else w for i, w in enumerate(words)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:900], "other", *words[901:]]), 3: " ".join(words[:850]), 4: " ".join(other[4:850]), 5: " ".join(words[9:846])}
+    assert linked(spark, texts) == {frozenset({1, 2}), frozenset({3, 4, 5})}
+    assert len(met) == 1 and sorted(sorted(p) for p in met[0]) == [[3, 4], [3, 5], [4, 5]]
+
+
 def test_one_bucket_of_many_families_equals_brute_force(spark):
     rng = random.Random(11)
     long = [f"l{i}" for i in range(500)]
